@@ -1,11 +1,351 @@
-"""The engine's driver queries and their SQL twins."""
+"""The engine's driver queries and their SQL twins. Scores are rounded to 6 places and ties go to the smaller id."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparrowdex.functions import scoring as S
+from sparrowdex.functions import text as X
+from sparrowdex.functions.stem import stems
+from sparrowdex.operators import answer, chunking, encode, evaluate, index, rank
+from sparrowdex.sources import tables
+from sparrowdex.storage import materialise
+
+
+class Inputs:
+    """The tables of one scale, in the engine's forms."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return tables.read(self.spark, self.sf_dir, name)
+
+    @property
+    def files(self) -> DataFrame:
+        return tables.files(self.table("documents"))
+
+    @property
+    def questions(self) -> DataFrame:
+        return tables.questions(self.table("benchmark"))
+
+    @property
+    def chunks(self) -> DataFrame:
+        """Chunks of all files cut as text; the id holds the document and the offset."""
+        return chunking.chunk(self.files, code=False).withColumn("chunk_id", F.shiftleft(F.col("doc_id"), 32) + F.col("first"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return index.chunk_terms(self.chunks).drop("text")
+
+    def index(self) -> index.Index:
+        return index.build(materialise(self.terms, "terms"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def per_token(name: str):
+    f = X.code_tokens if name == "code" else X.text_tokens
+    return lambda i: i.table("documents").select("doc_id", F.size(f(F.col("text"))).alias("n_tokens"), F.array_join(f(F.col("text")), " ").alias("tokens"))
+
+
+def file_route(i):
+    return i.files.groupBy(X.suffix(F.col("path")).alias("ext"), X.route(F.col("path")).alias("route")).agg(F.count("*").alias("n"))
+
+
+def stopword_filter(i):
+    kept = X.without_stop_words(X.text_tokens(F.col("text")))
+    return i.table("documents").select("doc_id", F.size(kept).alias("n_kept"), F.array_join(kept, " ").alias("kept"))
+
+
+def query_terms(i):
+    return i.questions.select("question_id", F.array_join(F.array_sort(X.query_terms(F.col("question"))), " ").alias("terms"))
+
+
+def stem_terms(i):
+    return i.questions.select(F.explode(X.query_terms(F.col("question"))).alias("term")).distinct().withColumn("stem", stems(F.col("term")))
+
+
+def chunk_text(i):
+    return i.chunks.select("doc_id", "first", "last")
+
+
+def chunk_text_stripped(i):
+    return i.chunks.select("doc_id", "first", F.length("text").alias("n"), F.md5(F.col("text")).alias("digest"))
+
+
+def min_token_filter(i):
+    code = F.col("path").endswith(".py")
+    return i.chunks.groupBy(X.route(F.col("path")).alias("route"), (F.size(X.tokens(F.col("text"), code)) >= S.MIN_TOKENS).alias("kept")).agg(F.count("*").alias("n"))
+
+
+def path_tokens(i):
+    code = F.col("path").endswith(".py")
+    return i.files.select("doc_id", F.array_join(X.tokens(F.col("path"), code), " ").alias("path_terms"), F.size(F.concat(X.tokens(F.col("text"), code), X.tokens(F.col("path"), code))).alias("n_terms"))
+
+
+def postings(i):
+    return index.build(i.terms).postings.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"), F.max("dl").cast("long").alias("dl"))
+
+
+def doc_freq(i):
+    return index.build(i.terms).term_stats.select("term", "df")
+
+
+def corpus_stats(i):
+    return index.build(i.terms).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def idf_floor(i):
+    return i.index().term_stats.select("term", F.round("idf", 6).alias("idf"))
+
+
+def bm25(i, boosted=False):
+    ix = i.index()
+    return ix, rank.scores(ix, rank.question_terms(i.questions), boosted)
+
+
+def bm25_scores(i):
+    scored = bm25(i)[1]
+    return scored.groupBy("question_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"), F.max("score").alias("most"))
+
+
+def topk(boosted: bool, k: int = 5):
+    return lambda i: rank.best(bm25(i, boosted)[1], k).select("question_id", "rank", "chunk_id", "score")
+
+
+def bm25_zero_padding(i):
+    ix, scored = bm25(i)
+    return rank.padded(materialise(scored.where(F.col("question_id") % 2 == F.pmod(F.col("chunk_id"), F.lit(2))), "scored"), i.questions, ix.chunks, 5).select("question_id", "rank", "chunk_id", "score")
+
+
+def type_boost(i):
+    return rank.boosts(i.terms.select("chunk_id", "path")).groupBy(X.suffix(F.col("path")).alias("ext"), "boost").agg(F.count("*").alias("n"))
+
+
+def query_vectors(i, ids=(7,)):
+    return i.vectors.where(F.col("chunk_id").isin(*ids)).select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"))
+
+
+def cosine_topk(i):
+    return rank.best(rank.cosine(i.vectors, query_vectors(i)), 10, "cosine").select("question_id", "rank", "chunk_id", "cosine")
+
+
+def vector_normalize(i):
+    v = S.unit(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return i.vectors.select("chunk_id", F.round(S.dot(v, v), 6).alias("norm"), F.round(F.get(v, F.lit(0)), 6).alias("x0"))
+
+
+def window_mean_pool(i):
+    held = i.vectors.groupBy(F.col("label").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))), lambda x: F.transform(x["embedding"], lambda y: y.cast("double"))).alias("vectors"))
+    return encode.pooled(held, 16, 4).select("id", F.posexplode("embedding").alias("dim", "x")).select("id", "dim", F.round("x", 6).alias("x"))
+
+
+def vector_scores(i):
+    """Two scores of every vector for two questions: its cosine, and as a stand-in for BM25 its first component."""
+    q = query_vectors(i, (7, 8))
+    cosines = rank.cosine(i.vectors, q)
+    other = i.vectors.crossJoin(q.select("question_id")).select("question_id", "chunk_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("score")).where("score > 0")
+    return other, cosines
+
+
+def rank_all(i):
+    return rank.ranked(vector_scores(i)[1], "cosine", "r_cos").select("question_id", "chunk_id", "r_cos")
+
+
+def rrf_fusion_topk(i):
+    return rank.hybrid(*vector_scores(i), 10).select("question_id", "rank", "chunk_id", "fused")
+
+
+def gold_spans(i):
+    return tables.gold(i.files, i.questions)
+
+
+def found(i, k=10):
+    ix, scored = bm25(i, True)
+    return rank.best(scored, k).join(ix.chunks, "chunk_id").select("question_id", "path", "first", "last", "rank")
+
+
+def iou_pairs(i):
+    gold = gold_spans(i)
+    candidates = i.chunks.join(gold.select("question_id", "path").distinct(), "path").select("question_id", "path", "first", "last")
+    return evaluate.overlaps(candidates, gold).select("question_id", "path", "first", "g_first", F.round("iou", 6).alias("iou"))
+
+
+def recall_at_k(i):
+    return evaluate.recall(found(i), gold_spans(i))
+
+
+def results_nested(i):
+    ix, scored = bm25(i, True)
+    nested = rank.results(rank.best(scored, 5), ix.chunks)
+    return nested.select("question_id", F.posexplode("retrieved_sources").alias("at", "s")).select("question_id", "at", F.col("s.file_path").alias("file_path"), F.col("s.first_character_index").alias("first"), F.col("s.last_character_index").alias("last"))
+
+
+def prompted(i):
+    return answer.prompts(found(i, 3), i.files, i.questions)
+
+
+def context_prompt(i):
+    return prompted(i).select("question_id", F.length("prompt").alias("n"), F.md5(F.col("prompt")).alias("digest"))
+
+
+def answer_stub(i):
+    return answer.generate(prompted(i)).select("question_id", "answer")
+
+
+def answer_cache_key(i):
+    key = X.answer_key(F.lit("q"), F.lit(3), F.lit("stub"), F.lit(answer.MAX_TOKENS), F.lit(answer.SYSTEM), F.col("question"))
+    return i.questions.select("question_id", key.alias("key"))
+
+
+def search_cache_key(i):
+    return i.questions.select("question_id", X.search_key(F.col("question_id") % 3, F.col("question")).alias("key"))
+
+
+def cache_split(hit: bool):
+    def run(i):
+        requests = search_cache_key(i)
+        return answer.split_by_cache(requests, requests.where(F.col("question_id") < 20))[0 if hit else 1].select("question_id")
+
+    return run
+
+
+CODE = '"""Doc."""\nimport os\nX = 1\nimport sys\n\n\n@wraps\ndef f(a):\n    # inside\n    return a\n\n\n# alone\nclass C:\n    def g(self):\n        return 2\n'
+
+
+def chunk_code(i):
+    """The first fixture is source, the others are documents that do not parse and are cut like text."""
+    docs = tables.files(i.table("documents"))
+    source = docs.sparkSession.createDataFrame([(-1, "fixture.py", CODE)], "doc_id long, path string, text string")
+    return chunking.chunk(docs.unionByName(source)).select("doc_id", "first", "last")
+
+
+def dataset_json_roundtrip(i):
+    from sparrowdex import schemas
+
+    doc = i.questions.select(F.to_json(F.struct(F.array(F.struct(F.col("question_id").cast("string").alias("question_id"), "question")).alias("rag_questions"))).alias("value"))
+    return doc.select(F.inline(F.from_json("value", schemas.DATASET)["rag_questions"])).select(F.col("question_id").cast("long").alias("question_id"), "question")
+
+
+QUERIES = {
+    "file_route": file_route, "tokenize_text": per_token("text"), "tokenize_code": per_token("code"), "stopword_filter": stopword_filter, "query_terms": query_terms, "stem_terms": stem_terms,
+    "chunk_text": chunk_text, "chunk_text_stripped": chunk_text_stripped, "min_token_filter": min_token_filter, "path_tokens": path_tokens, "postings": postings, "doc_freq": doc_freq, "corpus_stats": corpus_stats, "idf_floor": idf_floor,
+    "bm25_scores": bm25_scores, "bm25_topk": topk(False), "bm25_zero_padding": bm25_zero_padding, "type_boost": type_boost, "bm25_boosted_topk": topk(True), "cosine_topk": cosine_topk, "vector_normalize": vector_normalize,
+    "window_mean_pool": window_mean_pool, "rank_all": rank_all, "rrf_fusion_topk": rrf_fusion_topk, "gold_spans": gold_spans, "iou_pairs": iou_pairs, "recall_at_k": recall_at_k, "results_nested": results_nested,
+    "context_prompt": context_prompt, "answer_stub": answer_stub, "answer_cache_key": answer_cache_key, "search_cache_key": search_cache_key, "cache_hits": cache_split(True), "cache_misses": cache_split(False),
+    "chunk_code": chunk_code, "dataset_json_roundtrip": dataset_json_roundtrip,
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir)) for name, f in QUERIES.items()}
+
+
+def _list(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _code(x: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '{X.CODE_TOKEN}')"
+
+
+def _text(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{X.TEXT_TOKEN}')"
+
+
+def _stop(x: str) -> str:
+    return f"list_filter({x}, lambda t: t NOT IN {_list(X.STOP_WORDS)})"
+
+
+def _either(x: str) -> str:
+    return f"CASE WHEN suffix(path, '.py') THEN {_code(x)} ELSE {_text(x)} END"
+
+
+_WINDOW = "substring(text, {at} + 102, 699)"
+
+
+def _end(at: str) -> str:
+    w = _WINDOW.format(at=at)
+    return f"CASE WHEN {at} + 800 >= length(text) THEN length(text) WHEN instr({w}, chr(10)) = 0 THEN {at} + 800 ELSE {at} + 101 + length({w}) - instr(reverse({w}), chr(10)) END"
+
+
+FILES = "files AS (SELECT doc_id, 'corpus/' || source || '/' || lang || '/doc_' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.txt' WHEN 3 THEN '.rst' ELSE '.yaml' END AS path, text FROM documents)"
+QUESTIONS = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
+CHUNKS = f"""{FILES}, spans AS (
+  SELECT doc_id, 0::BIGINT AS first, ({_end('0')})::BIGINT AS last FROM files WHERE length(text) > 0
+  UNION ALL SELECT s.doc_id, s.last - 100, ({_end('(s.last - 100)')})::BIGINT FROM spans s JOIN files f ON f.doc_id = s.doc_id WHERE s.last < length(text)
+), chunks AS (SELECT s.doc_id, path, first, last, (s.doc_id << 32) + first AS chunk_id, regexp_replace(substring(text, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS body FROM spans s JOIN files f ON f.doc_id = s.doc_id)"""
+TERMS = f"""{CHUNKS}, raws AS (SELECT chunk_id, path, first, last, {_either('body')} AS raw FROM chunks),
+terms AS (SELECT chunk_id, path, first, last, {_stop(f"list_concat(raw, {_either('path')})")} AS terms FROM raws WHERE len(raw) >= 10)"""
+INDEX = f"""{TERMS}, posts AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM terms) GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM terms), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+idf0 AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM dfs, stats),
+idfs AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM idf0) ELSE idf0 END AS idf FROM idf0)"""
+QTERMS = f"""{QUESTIONS}, qterms AS (SELECT question_id, unnest({_stop(f"list_distinct(list_concat({_code('question')}, {_text('question')}))")}) AS term FROM questions)"""
+SCORES = f"""{INDEX}, {QTERMS}, scored AS (SELECT question_id, chunk_id, sum(idf * tf * 3 / (tf + 2 * (0.7 + 0.3 * dl / avgdl))) AS raw FROM qterms JOIN posts USING (term) JOIN idfs USING (term), stats GROUP BY ALL),
+plain AS (SELECT question_id, chunk_id, round(raw, 6) AS score FROM scored)"""
+BOOSTS = "shares AS (SELECT avg(suffix(path, '.py')::INT) AS share FROM terms), boosts AS (SELECT chunk_id, path, CASE WHEN share < 0.3 THEN CASE WHEN suffix(path, '.py') THEN 1.2 ELSE 1.0 END WHEN 1 - share < 0.3 THEN CASE WHEN regexp_matches(path, '\\.(md|txt|rst)$') THEN 1.2 ELSE 1.0 END ELSE 1.0 END::DOUBLE AS boost FROM terms, shares)"
+BOOSTED = f"{SCORES}, {BOOSTS}, boosted AS (SELECT question_id, chunk_id, round(raw * boost, 6) AS score FROM scored JOIN boosts USING (chunk_id))"
+
+
+def _best(of: str, k: int) -> str:
+    return f"SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM {of}) WHERE rank <= {k}"
+
+
+GOLD = "gold AS (SELECT question_id, path, instr(text, question) - 1 AS g_first, instr(text, question) - 1 + length(question) AS g_last FROM files JOIN questions ON instr(text, question) > 0)"
+FOUND = f"{BOOSTED}, found AS (SELECT question_id, path, first, last, rank FROM ({_best('boosted', 10)}) JOIN terms USING (chunk_id))"
+IOU = "CASE WHEN (last - first) + (g_last - g_first) - greatest(0, least(last, g_last) - greatest(first, g_first)) > 0 THEN greatest(0, least(last, g_last) - greatest(first, g_first)) / ((last - first) + (g_last - g_first) - greatest(0, least(last, g_last) - greatest(first, g_first)))::DOUBLE ELSE 0 END"
+PROMPT = f"""parts AS (SELECT question_id, string_agg('[' || (rank - 1) || '] (' || f.path || ')' || chr(10) || substring(text, first + 1, last - first) || chr(10) || chr(10), '' ORDER BY rank) AS parts FROM found JOIN files f ON f.path = found.path WHERE rank <= 3 GROUP BY question_id),
+prompts AS (SELECT question_id, 'context: ' || chr(10) || coalesce(parts, '') || 'Question: ' || question || chr(10) || chr(10) || 'Answer: ' AS prompt FROM questions LEFT JOIN parts USING (question_id))"""
+DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+R = "WITH RECURSIVE "
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ext = "regexp_extract(path, '[^/](\\.[^./]+)$', 1)"
+    routed = f"CASE WHEN {ext} = '.py' THEN 'py' WHEN {ext} IN {_list(X.SKIPPED)} OR suffix(path, '.DS_Store') THEN 'skip' ELSE 'other' END"
+    cos = f"SELECT q.vec_id AS question_id, e.vec_id AS chunk_id, round({DOT.format(a='e.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id"
+    return {
+        "file_route": f"WITH {FILES} SELECT {ext} AS ext, {routed} AS route, count(*) AS n FROM files GROUP BY ALL",
+        "tokenize_text": f"SELECT doc_id, len({_text('text')}) AS n_tokens, array_to_string({_text('text')}, ' ') AS tokens FROM documents",
+        "tokenize_code": f"SELECT doc_id, len({_code('text')}) AS n_tokens, array_to_string({_code('text')}, ' ') AS tokens FROM documents",
+        "stopword_filter": f"SELECT doc_id, len({_stop(_text('text'))}) AS n_kept, array_to_string({_stop(_text('text'))}, ' ') AS kept FROM documents",
+        "query_terms": f"WITH {QTERMS} SELECT question_id, string_agg(term, ' ' ORDER BY term) AS terms FROM qterms GROUP BY question_id",
+        "chunk_text": f"{R}{CHUNKS} SELECT doc_id, first::INT AS first, last::INT AS last FROM chunks",
+        "chunk_text_stripped": f"{R}{CHUNKS} SELECT doc_id, first::INT AS first, length(body) AS n, md5(body) AS digest FROM chunks",
+        "min_token_filter": f"{R}{CHUNKS} SELECT {routed} AS route, len({_either('body')}) >= 10 AS kept, count(*) AS n FROM chunks GROUP BY ALL",
+        "path_tokens": f"WITH {FILES} SELECT doc_id, array_to_string({_either('path')}, ' ') AS path_terms, len({_either('text')}) + len({_either('path')}) AS n_terms FROM files",
+        "postings": f"{R}{INDEX} SELECT chunk_id, count(*) AS n_terms, sum(tf)::BIGINT AS tf, max(dl) AS dl FROM posts GROUP BY chunk_id",
+        "doc_freq": f"{R}{INDEX} SELECT term, df FROM dfs",
+        "corpus_stats": f"{R}{INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
+        "idf_floor": f"{R}{INDEX} SELECT term, round(idf, 6) AS idf FROM idfs",
+        "bm25_scores": f"{R}{SCORES} SELECT question_id, count(*) AS n, round(sum(score), 2) AS total, max(score) AS most FROM plain GROUP BY question_id",
+        "bm25_topk": f"{R}{SCORES} {_best('plain', 5)}",
+        "bm25_zero_padding": f"{R}{SCORES}, half AS (SELECT q.question_id, t.chunk_id, coalesce(p.score, 0) AS score FROM questions q CROSS JOIN terms t LEFT JOIN plain p ON p.question_id = q.question_id AND p.chunk_id = t.chunk_id AND q.question_id % 2 = t.chunk_id % 2) {_best('half', 5)}",
+        "type_boost": f"{R}{TERMS}, {BOOSTS} SELECT {ext} AS ext, boost, count(*) AS n FROM boosts GROUP BY ALL",
+        "bm25_boosted_topk": f"{R}{BOOSTED} {_best('boosted', 5)}",
+        "cosine_topk": f"SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS rank, chunk_id, cosine FROM ({cos} = 7)) WHERE rank <= 10",
+        "vector_normalize": "WITH v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), u AS (SELECT chunk_id, e, greatest(sqrt(list_inner_product(e, e)), 1e-12) AS n FROM v) SELECT chunk_id, round(list_inner_product(list_transform(e, lambda x: x / n), list_transform(e, lambda x: x / n)), 6) AS norm, round(e[1] / n, 6) AS x0 FROM u",
+        "window_mean_pool": """WITH o AS (SELECT label AS id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+w AS (SELECT id, k AS win, embedding FROM o, unnest(generate_series(0, greatest(0, ceil((n - 16) / 12.0)::INT))) AS s(k) WHERE pos >= k * 12 AND pos < k * 12 + 16),
+l AS (SELECT id, win, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM w), m AS (SELECT id, win, dim, avg(x) AS x FROM l GROUP BY ALL),
+u AS (SELECT id, win, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id, win)) AS x FROM m), a AS (SELECT id, dim, avg(x) AS x FROM u GROUP BY ALL)
+SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM a""",
+        "rank_all": f"SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS r_cos FROM ({cos} IN (7, 8))",
+        "rrf_fusion_topk": f"WITH c AS ({cos} IN (7, 8)), s AS (SELECT c.*, greatest(round(embedding[1]::DOUBLE, 6), 0) AS score FROM c JOIN embeddings ON vec_id = chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS a, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS b FROM s), f AS (SELECT question_id, chunk_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS fused FROM r) SELECT question_id, rank, chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 10",
+        "gold_spans": f"WITH {FILES}, {QUESTIONS}, {GOLD} SELECT * FROM gold",
+        "iou_pairs": f"{R}{CHUNKS}, {QUESTIONS}, {GOLD} SELECT question_id, path, first::INT AS first, g_first, round({IOU}, 6) AS iou FROM chunks JOIN gold USING (path)",
+        "recall_at_k": f"{R}{FOUND}, {GOLD}, hits AS (SELECT question_id, path, g_first, g_last, min(rank) AS pos FROM found JOIN gold USING (question_id, path) WHERE {IOU} > 0.05 GROUP BY ALL), per AS (SELECT question_id, k, avg((coalesce(pos, 99) <= k)::INT) AS r FROM gold LEFT JOIN hits USING (question_id, path, g_first, g_last), generate_series(1, 10) AS s(k) GROUP BY ALL) SELECT k::INT AS k, round(avg(r), 6) AS recall, count(*) AS num_questions FROM per GROUP BY k",
+        "results_nested": f"{R}{FOUND} SELECT question_id, (rank - 1)::INT AS "at", path AS file_path, first::INT AS first, last::INT AS last FROM found WHERE rank <= 5",
+        "context_prompt": f"{R}{FOUND}, {PROMPT} SELECT question_id, length(prompt) AS n, md5(prompt) AS digest FROM prompts",
+        "answer_stub": f"{R}{FOUND}, {PROMPT}, top AS (SELECT question_id, substring(text, first + 1, last - first) || chr(10) AS body FROM found JOIN files f ON f.path = found.path WHERE rank = 1) SELECT question_id, substring(body, 1, instr(body, chr(10)) - 1) AS answer FROM top",
+        "answer_cache_key": f"""SELECT item_id AS question_id, '["q", 3, "stub", {answer.MAX_TOKENS}, "' || substring(sha256('{answer.SYSTEM}' || text), 1, 12) || '"]' AS key FROM benchmark""",
+        "search_cache_key": "SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN text ELSE (item_id % 3) || '::' || text END AS key FROM benchmark",
+        "cache_hits": "SELECT item_id AS question_id FROM benchmark WHERE item_id < 20",
+        "cache_misses": "SELECT item_id AS question_id FROM benchmark WHERE item_id >= 20",
+        "dataset_json_roundtrip": "SELECT item_id AS question_id, text AS question FROM benchmark",
+    }
