@@ -340,7 +340,7 @@ SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6
         "gold_spans": f"WITH {FILES}, {QUESTIONS}, {GOLD} SELECT * FROM gold",
         "iou_pairs": f"{R}{CHUNKS}, {QUESTIONS}, {GOLD} SELECT question_id, path, first::INT AS first, g_first, round({IOU}, 6) AS iou FROM chunks JOIN gold USING (path)",
         "recall_at_k": f"{R}{FOUND}, {GOLD}, hits AS (SELECT question_id, path, g_first, g_last, min(rank) AS pos FROM found JOIN gold USING (question_id, path) WHERE {IOU} > 0.05 GROUP BY ALL), per AS (SELECT question_id, k, avg((coalesce(pos, 99) <= k)::INT) AS r FROM gold LEFT JOIN hits USING (question_id, path, g_first, g_last), generate_series(1, 10) AS s(k) GROUP BY ALL) SELECT k::INT AS k, round(avg(r), 6) AS recall, count(*) AS num_questions FROM per GROUP BY k",
-        "results_nested": f"{R}{FOUND} SELECT question_id, (rank - 1)::INT AS "at", path AS file_path, first::INT AS first, last::INT AS last FROM found WHERE rank <= 5",
+        "results_nested": f"{R}{FOUND} SELECT question_id, (rank - 1)::INT AS at, path AS file_path, first::INT AS first, last::INT AS last FROM found WHERE rank <= 5",
         "context_prompt": f"{R}{FOUND}, {PROMPT} SELECT question_id, length(prompt) AS n, md5(prompt) AS digest FROM prompts",
         "answer_stub": f"{R}{FOUND}, {PROMPT}, top AS (SELECT question_id, substring(text, first + 1, last - first) || chr(10) AS body FROM found JOIN files f ON f.path = found.path WHERE rank = 1) SELECT question_id, substring(body, 1, instr(body, chr(10)) - 1) AS answer FROM top",
         "answer_cache_key": f"""SELECT item_id AS question_id, '["q", 3, "stub", {answer.MAX_TOKENS}, "' || substring(sha256('{answer.SYSTEM}' || text), 1, 12) || '"]' AS key FROM benchmark""",
