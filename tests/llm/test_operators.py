@@ -1,0 +1,391 @@
+"""The ten operators against brute force, round trips and their stated results for odd inputs."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import oracle
+from sparrowdex.llm import chat, components, decontaminate, html_extract, license_scan, packing, quality_rules, queries, sharding, simhash, url_filter, warc
+from sparrowdex.storage import shared_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null texts, ids and sources, empty and very long texts, copies and repeated rows."""
+    long = " ".join(f"word{i % 997} and{i}" for i in range(30_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "same text of a few words here", "en", "a", 1), (4, "same text of a few words here", "en", "a", 1), (4, "same text of a few words here", "en", "a", 1), (None, "no id", "en", "b", 1), (5, long, None, "a", None), (6, " \n\t ", "en", "a", 1)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    oracle.same(spark, oracle.connection(SF), SF, queries.queries()[name], queries.oracle_sql()[name])
+
+
+# 1
+
+
+def test_licences_inherit_from_the_nearest_directory(spark):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/x.txt", "nothing"), ("a/y.txt", "nothing"), ("z.txt", "nothing"), ("a/own.txt", "text\nLicensed under the Apache License, Version 2.0.\nmore"), (None, "Released under the MIT License."), ("a/b/null.txt", None), ("a/y.txt", "nothing"), ("a/b2/far.txt", "licence of a friend to do as he likes with words")]
+    got = {(r.path, r._license, r._from, r._how) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {("a/LICENSE", "MIT", "a/LICENSE", "own"), ("a/b/COPYING", "GPL-3.0", "a/b/COPYING", "own"), ("a/b/c/x.txt", "GPL-3.0", "a/b/COPYING", "inherited"), ("a/y.txt", "MIT", "a/LICENSE", "inherited"), ("z.txt", None, None, "none"), ("a/own.txt", "Apache-2.0", "a/own.txt", "own"), (None, None, None, "none"), ("a/b/null.txt", "GPL-3.0", "a/b/COPYING", "inherited"), ("a/b2/far.txt", "MIT", "a/LICENSE", "inherited")}
+    assert license_scan.scan(spark.createDataFrame([], "path string, text string, score int")).count() == 0
+
+
+def test_every_stated_licence_is_found(spark, docs):
+    out = license_scan.op1(spark, docs).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0"}
+    for r in out:
+        stated = {v for k, v in known.items() if k in text[r.doc_id]}
+        assert (r.own_license in stated) if stated else r.own_license is None
+
+
+# 2
+
+
+def edits(text, passage):
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(passage):
+        base = np.concatenate([[i + 1], np.minimum(row[:-1] + (text != c), row[1:] + 1)]) - np.arange(len(text) + 1)
+        row = np.minimum.accumulate(base) + np.arange(len(text) + 1)
+    return row.min()
+
+
+def test_banded_search_equals_full_alignment(docs, spark):
+    rng = random.Random(3)
+    passages = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    p = decontaminate.Passages(passages, 8, 0.1)
+    texts = [r.text[:1200] for r in docs.collect()]
+    for _ in range(40):
+        at = rng.randrange(len(p.ids))
+        s = list(dict(passages)[p.ids[at]])
+        for _ in range(int(len(p.codes[at]) * rng.choice([0, 0.04, 0.09, 0.11]))):
+            j = rng.randrange(len(s))
+            s[j] = rng.choice(["", "x", s[j] + "y", s[j].upper()])
+        t = rng.choice(texts)
+        cut = rng.randrange(len(t) + 1)
+        t = t[:cut] + "".join(s) + t[cut:]
+        d = edits(decontaminate.normalise(t)[0], p.codes[at])
+        found = [m for m in decontaminate.matches([t], p)[0] if m[0] == p.ids[at]]
+        assert bool(found) == (d <= p.budget[at])
+        assert not found or found[0][3] == d
+
+
+def test_decontamination_of_odd_rows(spark, odd, empty):
+    bench = spark.createDataFrame([(7, "same text of a few words here"), (7, "same text of a few words here"), (8, None), (9, ""), (None, "x" * 50)], "item_id long, text string")
+    hits = sorted(tuple(r) for r in decontaminate.contaminated(odd, bench).collect())
+    assert hits == [(3, 7, 0, 29, 0), (4, 7, 0, 29, 0), (4, 7, 0, 29, 0)]
+    assert decontaminate.contaminated(odd, bench, block_chars=10).count() == 3
+    assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(odd, bench.limit(0)).count() == 0
+    kept = decontaminate.without_leaks(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == 5
+
+
+# 3
+
+
+def test_token_ids_equal_the_tokenizers_file(docs):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    e = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for text in [r.text for r in docs.collect()] + ["", " ", "a  b", "a\n b\n\n  c", "it's we'll 'S", " x\x85y\x1cz", "<|endoftext|> hi", "日本語 123abc!!", "\r\n\r\nx"]:
+        assert t.encode(text, add_special_tokens=False).ids == np.frombuffer(e(text), "<u4").tolist()
+
+
+def whole(rows, capacity):
+    at = collections.defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for parts in at.values():
+        end = 0
+        for offset, n in sorted(parts):
+            assert offset == end
+            end += n
+        assert end <= capacity
+    return len(at)
+
+
+def test_packing(spark, docs, odd, empty):
+    pieces = packing.pack_documents(docs).collect()
+    n = whole(pieces, 2048)
+    assert n <= -(-sum(r.length for r in pieces) // 2048) + 3
+    by = collections.defaultdict(list)
+    for r in pieces:
+        by[r.doc_id].append((r.piece, r.start, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [p for p, *_ in parts] == list(range(len(parts))) and all(x[2] == 2048 for x in parts[1:])
+        assert all(a[1] + a[2] == b[1] for a, b in zip(parts, parts[1:], strict=False))
+    rows = packing.pack_documents(odd).collect()
+    assert sum(r.doc_id == 4 for r in rows) == 2 and whole(rows, 2048)
+    assert {(r.length, r.ids_crc32) for r in rows if r.doc_id in (1, 2)} == {(1, zlib.crc32(b"\0\0\0\0"))}
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_plan_uses_every_piece_and_fills_exactly():
+    rng = random.Random(0)
+    for _ in range(20):
+        counts = {rng.randint(1, 64): rng.randint(1, 50) for _ in range(rng.randint(1, 40))}
+        plan = packing.plan(counts, 64)
+        used = collections.Counter()
+        for times, parts in plan:
+            assert times > 0 and sum(n * k for n, k in parts) <= 64
+            for n, k in parts:
+                used[n] += times * k
+        assert used == counts
+    assert packing.plan({60: 2, 1: 2, 3: 2}, 64) == [(2, [(60, 1), (3, 1), (1, 1)])]
+    assert sum(t for t, _ in packing.plan({32: 3}, 64)) == 2
+    with pytest.raises(ValueError):
+        packing.plan({65: 1}, 64)
+
+
+# 4
+
+
+def test_shards_hold_the_mixture(spark, docs, odd, empty):
+    rows = sharding.interleave(docs, 8).collect()
+    size = collections.Counter(r.shard for r in rows)
+    assert len(rows) == docs.count() and max(size.values()) - min(size.values()) <= 1
+    for s, n in size.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    total = collections.Counter(r.source for r in rows)
+    for (_, source), n in collections.Counter((r.shard, r.source) for r in rows).items():
+        assert abs(n - total[source] / 8) <= 2
+    assert sorted((r.doc_id, r.shard, r.slot) for r in sharding.interleave(docs.repartition(7), 8).collect()) == sorted((r.doc_id, r.shard, r.slot) for r in rows)
+    clash = odd.withColumn("shard_", F.lit(1)).withColumn("_s", F.lit("x")).withColumn("_n", F.lit(2))
+    assert sorted(r.slot for r in sharding.interleave(clash, 1).collect()) == list(range(8))
+    assert sharding.interleave(empty).count() == 0
+
+
+# 5
+
+
+def slow_statistics(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if n[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(covered)
+
+
+def test_quality_statistics(spark, docs, odd):
+    extra = spark.createDataFrame([(100, "a b c a b c"), (101, "a a a a"), (102, "x y z\nx y z\n\n\nx y z "), (103, "#é** b |"), (104, "a b c d e b c d")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(extra)
+    for r in quality_rules.statistics(rows).collect():
+        assert tuple(r[quality_rules.P + n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_statistics(r.text)
+
+
+def test_rules_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fit, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    rules = quality_rules.learn(docs, fit)
+    rows = quality_rules.judged(docs.join(F.broadcast(held), "doc_id"), rules).select("quality", "_qr_base_failed", "_qr_kept").collect()
+    judged = [r for r in rows if not r._qr_base_failed]
+    assert rules and np.mean([(r.quality == 1) == r._qr_kept for r in judged]) > 0.97
+    kept = quality_rules.kept_documents(docs, labels)
+    assert kept.columns == docs.columns and 0.6 * docs.count() < kept.count() < docs.count()
+
+
+def test_quality_without_labels_keeps_what_passes_the_base(spark, docs, odd, empty):
+    none = spark.createDataFrame([(3, None), (None, 0)], "doc_id long, quality int")
+    assert quality_rules.learn(docs, none) == []
+    assert quality_rules.kept_documents(odd.withColumn("n_words", F.lit(0)), none).columns[-1] == "n_words"
+    assert quality_rules.op5(spark, empty, none).count() == 0
+
+
+def test_covering_finds_conjunctions():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(quality_rules.FEATURES)))
+    bad = (x[:, 2] > 0.8) | (x[:, 3] > 0.7) & (x[:, 5] < 0.4)
+    rules = quality_rules.cover(x, bad, rng.random(3000) < 0.67)
+    got = np.zeros(3000, bool)
+    for r in rules:
+        got |= quality_rules.covers(r, x)
+    assert (got == bad).mean() > 0.97
+
+
+# 6
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("plain &amp; text", "plain & text"),
+        ("<p>one<p>two <b>x</b>\n  y", "one\ntwo x y"),
+        ("a<script>x<p></script>b<!-- <p>c --><style>q</style>", "ab"),
+        ("<div>" * 4000 + "deep" + "</div>" * 4000, "deep"),
+        ('<body><header><a href=/>Home</a></header><div class="content"><h1>T</h1><p>Some long text of the article, with <a href=q>a link</a> inside it.</p></div><div class="comments"><p>A comment that goes on and on and on and on.</p></div><form>Search</form><footer>c</footer>', "T\nSome long text of the article, with a link inside it."),
+    ],
+)
+def test_html(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_pages_give_their_article(spark):
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in html_extract.op6(spark, pages).collect():
+        body = re.search("<article>(.*)</article>", source[r.page_id], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", body))
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+# 7
+
+
+def test_url_rules_and_propagation(spark):
+    link = '<a href="http://{}/">x</a>'
+    rows = [(1, "http://Sub.Example.COM/en/70?q", ""), (2, "http://other.com/en/1", link.format("victim.io")), (3, "http://b.net/de/", link.format("friend.io")), (4, "http://example.net/de/81", ""), (5, "no scheme", None), (6, None, None), (7, "http://friend.io", ""), (8, "http://spammy.io/a", link.format("other.com")), (9, "ftp://x.org:80/es/#f", ""), (10, "http://victim.io/en", ""), (11, "http://notcom/en/", ""), (2, "http://other.com/en/1", "")]
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.op7(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, "sub.example.com", "/en/70", "example.com/en/7", "allow"), (2, "other.com", "/en/1", "com/en/", "block"), (3, "b.net", "/de/", "net/de/", "allow"), (4, "example.net", "/de/81", "example.net/de/8", "block"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "friend.io", "", None, "allow"), (8, "spammy.io", "/a", None, "block"), (9, "x.org:80", "/es/", None, "allow"), (10, "victim.io", "/en", None, "allow"), (11, "notcom", "/en/", None, "allow")}
+
+
+def test_pagerank_equals_power_iteration(spark):
+    rng = np.random.default_rng(2)
+    edges = [(f"h{a}", f"h{b}", int(n)) for a in range(8) for b in range(8) if a != b and (n := rng.integers(0, 3))]
+    seeds = [("h0", 1.0, 0.0), ("h5", 0.0, 1.0)]
+    rounds = 5
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n int"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), rounds=rounds, tolerance=1e-9).collect()}
+    m = np.zeros((8, 8))
+    for a, b, n in edges:
+        m[int(a[1:]), int(b[1:])] = n
+    for k, (mat, seed) in enumerate([(m, 0), (m.T, 5)]):
+        w = mat / np.maximum(mat.sum(axis=1, keepdims=True), 1)
+        r = sum(0.15 * np.linalg.matrix_power(0.85 * w.T, j) @ np.eye(8)[seed] for j in range(rounds + 1))
+        assert all(abs(got.get(f"h{i}", (0, 0))[k] - r[i]) < 1e-9 for i in range(8))
+
+
+# 8
+
+
+def test_chat_round_trip(spark):
+    odd = ["<|im_end|>", "<\\|x", "a<", "<|im_sta", "<|im_start|>", "", "\n", "<\\\\|im_end|>\n", "<|foo|>", "x<|im_end|>\n<|im_start|>user\nhi", "\r\n", " \\ <|", "$1 \\1", None]
+    roles = ["user", "assistant", "a\nb", "we\\nird<|im_end|>", None, "<\\p|"]
+    rows = [(i, k, role, t) for i, role in enumerate(roles) for k, t in enumerate(odd)] + [(None, None, None, None), (1, 0, "assistant", "again")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_turns(frame).select("*", chat.parse(F.col("formatted")).alias("back")).collect()
+    assert len(out) == 7 and all(r.turns == r.back for r in out)
+    for r in out:
+        own = [t.text for t in r.turns if t.role == "assistant"]
+        spans = [r.formatted[s.first - 1 : s.first - 1 + s.length] for s in r.loss_spans]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", s) for s in spans] == own
+    assert chat.format_turns(frame.limit(0)).count() == 0
+
+
+# 9
+
+
+def slow_fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    s = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(ids, fps, radius):
+    root = list(range(len(ids)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                root[find(a)] = find(b)
+    least = {}
+    for a, i in enumerate(ids):
+        least[find(a)] = min(least.get(find(a), i), i)
+    return [least[find(a)] for a in range(len(ids))]
+
+
+def test_fingerprints_and_components(spark, docs, odd, empty):
+    rows = simhash.op9(spark, docs.unionByName(odd.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 1_000_000))).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(int(r.fingerprint, 16) == slow_fingerprint(text[r.doc_id]) for r in rows if r.doc_id in text)
+    ids, fps = [r.doc_id for r in rows], [int(r.fingerprint, 16) for r in rows]
+    assert [r.component_id for r in rows] == slow_components(ids, fps, 4)
+    assert simhash.op9(spark, empty).count() == 0
+    assert simhash.one_per_group(odd.withColumn("fp", F.lit(1))).columns == [*odd.columns, "fp"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.one_per_group(odd).collect()) == [(False, 1), (False, 3), (False, 5), (True, 0)]
+
+
+@pytest.mark.parametrize("spread", [3, 9, 64])
+def test_trees_find_every_link(spark, spread):
+    rng = np.random.default_rng(spread)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fps = np.unique([int(base[rng.integers(12)]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, spread + 1), replace=False)) & (2**64 - 1) for _ in range(900)])[:800]
+    fps = [int(x) for x in fps]
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)], "fp long, node long")
+    links = {r.u: r.v for r in components.components(simhash.near_edges(nodes, 4, leaf=40, sample=200)).collect()}
+    assert [links.get(k, k) for k in range(len(fps))] == slow_components(list(range(len(fps))), fps, 4)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3), (3, 2)]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {x: 100 for x in range(101, 140)}
+
+
+# 10
+
+
+def test_warc_round_trip(spark):
+    texts = ["", None, "x\r\n", "\r\n\r\n", "a\r\n\r\nWARC/1.1\r\n", "é" * 200 + "\r\n" * 50, "q" * 100_000, "日本語" * 9000 + "\r\n\r\r\n\r\n", "é" * 200 + "\r\n" * 50, "q" * 100_000]
+    rows = [(i, f"http://a\r\n%0A/{i}" if i % 2 else None, t) for i, t in enumerate(texts)] + [(7, "u", texts[7])] * 2 + [(None, "u", "z" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = shared_path(spark, "test")
+    warc.write_archive(pages, path, segment=1000, chunk=333)
+    out = warc.reassembled(spark, path).collect()
+    assert len(out) == len(rows)
+    assert {(r.page_id, r.refers_to) for r in out if r.record_type == "revisit"} == {(8, 5), (9, 6)}
+    for r in out:
+        text = ("z" * 300 if r.page_id is None else texts[r.page_id]) or ""
+        assert r.payload_bytes == len(text.encode()) and r.payload_digest == hashlib.sha256(text.encode()).hexdigest()
+        assert r.payload == (None if r.record_type == "revisit" else text)
+    assert {r.url for r in out} >= {"http://a\r\n%0A/1", None, "u"}
+    assert warc.read_records(spark, path).where("type = 'continuation'").count() > 100
+
+
+def test_damage_is_an_error():
+    assert warc.dechunked(warc.chunked("héllo".encode(), 2)) == "héllo".encode()
+    with pytest.raises(ValueError):
+        warc.dechunked(b"5\r\nhell\r\n0\r\n\r\n")
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([b"WARC/1.1\r\nContent-Length: 10", b"abc"])))
