@@ -26,7 +26,7 @@ def stemmed(pairs: DataFrame, term_col: str = "term") -> DataFrame:
 
 @dataclass
 class Index:
-    """chunks (chunk_id, path, first, last), postings (chunk_id, term, tf, dl), term_stats (term, df, idf), stats (n, avgdl, avg_idf)."""
+    """chunks (chunk_id, path, first, last), postings (chunk_id, term, tf, dl), term_stats (term, df, idf), stats (n, avgdl, py_share, avg_idf)."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -51,7 +51,7 @@ def build(terms: DataFrame, stem: bool = False) -> Index:
     pairs = sized.select("chunk_id", "dl", F.explode("terms").alias("term"))
     pairs = stemmed(pairs) if stem else pairs
     postings = pairs.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.avg(F.col("path").endswith(".py").cast("double")).alias("py_share"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(total).select("term", "df", S.idf(F.col("df"), F.col("n")).alias("idf0"))
     mean = raw.agg(F.avg("idf0").alias("avg_idf"))

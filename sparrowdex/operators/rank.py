@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparrowdex.functions import scoring as S
 from sparrowdex.functions import text as X
 from sparrowdex.operators.index import Index, stemmed
+from sparrowdex.operators.order import numbered
 
 
 def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
@@ -16,10 +17,10 @@ def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
     return (stemmed(pairs) if stem else pairs).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def boosts(chunks: DataFrame) -> DataFrame:
-    """chunks with boost: files of the kind that has under 0.3 of the chunks count 1.2 times."""
+def boosts(chunks: DataFrame, share: DataFrame | None = None) -> DataFrame:
+    """chunks with boost: files of the kind that has under 0.3 of the chunks count 1.2 times. share: the share of .py chunks, where it is known."""
     py = F.col("path").endswith(".py")
-    share = chunks.agg(F.avg(py.cast("double")).alias("share"))
+    share = chunks.agg(F.avg(py.cast("double")).alias("share")) if share is None else share
     doc = F.coalesce(F.regexp_extract(F.col("path"), "(\\.[^./]+)$", 1).isin(*X.BOOSTED_DOCS), F.lit(False))
     value = F.when(F.col("share") < S.MIN_RATIO, F.when(py, S.BOOST).otherwise(1.0)).when(1 - F.col("share") < S.MIN_RATIO, F.when(doc, S.BOOST).otherwise(1.0)).otherwise(1.0)
     return chunks.crossJoin(share).withColumn("boost", value).drop("share")
@@ -32,7 +33,7 @@ def scores(index: Index, qterms: DataFrame, boosted: bool = False) -> DataFrame:
     w = S.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("qtf")
     out = hits.groupBy("question_id", "chunk_id").agg(F.sum(w).alias("score"))
     if boosted:
-        out = out.join(boosts(index.chunks).select("chunk_id", "boost"), "chunk_id").withColumn("score", F.col("score") * F.col("boost"))
+        out = out.join(boosts(index.chunks, index.stats.select(F.col("py_share").alias("share"))).select("chunk_id", "boost"), "chunk_id").withColumn("score", F.col("score") * F.col("boost"))
     return out.select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -62,7 +63,8 @@ def cosine(vectors: DataFrame, queries: DataFrame, id_col: str = "chunk_id") ->
 
 
 def ranked(rows: DataFrame, by: str, name: str, key: str = "question_id", tie: str = "chunk_id") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.col(by).desc(), F.col(tie))))
+    """rows with their rank among all of the question's, however many chunks there are."""
+    return numbered(rows, [F.col(by).desc(), F.col(tie)], name, (key,))
 
 
 def hybrid(bm25: DataFrame, cosines: DataFrame, k: int) -> DataFrame:

@@ -30,18 +30,18 @@ def _one(spark, path: str, schema: str) -> DataFrame:
 
 
 def dataset(spark, path: str) -> DataFrame:
-    """(question_id, question, sources, answer) of a dataset; missing ids are new, a missing question is an error."""
-    rows = _one(spark, path, schemas.DATASET).select(F.inline("rag_questions"))
+    """(place, question_id, question, sources, answer) of a dataset, place from 0; missing ids are new, a missing question is an error."""
+    rows = _one(spark, path, schemas.DATASET).select(F.posexplode("rag_questions").alias("place", "q")).select("place", "q.*")
     asked = F.when(F.col("question").isNull(), F.raise_error(F.lit("a question has no text"))).otherwise(F.col("question"))
-    return rows.select(F.coalesce("question_id", F.expr("uuid()")).alias("question_id"), asked.alias("question"), "sources", "answer")
+    return rows.select("place", F.coalesce("question_id", F.expr("uuid()")).alias("question_id"), asked.alias("question"), "sources", "answer")
 
 
 def results(spark, path: str) -> tuple[DataFrame, int]:
-    """((question_id, question, path, first, last, rank), k)."""
+    """((place, question_id, question, path, first, last, rank), k): a question without sources has one row of null rank."""
     doc = _one(spark, path, schemas.RESULTS)
     k = doc.select("k").first()
-    flat = doc.select(F.inline("search_results")).select("question_id", "question", F.posexplode("retrieved_sources").alias("at", "s"))
-    return flat.select("question_id", "question", F.col("s.file_path").alias("path"), F.col("s.first_character_index").alias("first"), F.col("s.last_character_index").alias("last"), (F.col("at") + 1).alias("rank")), k["k"] if k else 0
+    each = doc.select(F.posexplode("search_results").alias("place", "r")).select("place", "r.question_id", "r.question", F.posexplode_outer("r.retrieved_sources").alias("at", "s"))
+    return each.select("place", "question_id", "question", F.col("s.file_path").alias("path"), F.col("s.first_character_index").alias("first"), F.col("s.last_character_index").alias("last"), (F.col("at") + 1).alias("rank")), k["k"] if k else 0
 
 
 def write_document(rows: DataFrame, name: str, path: str, **more) -> None:
