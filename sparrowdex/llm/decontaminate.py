@@ -18,6 +18,8 @@ from sparrowdex.storage import ship
 
 #: Unicode White_Space characters; runs of them count as one blank.
 SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Text characters and diagonals that one call of align holds.
+CELLS = 1 << 21
 _fold: np.ndarray | None = None
 
 
@@ -92,8 +94,21 @@ class Passages:
         self.bits[self.hash >> np.uint64(44)] = True
         self.budget, self.need = np.array(self.budget, np.int64), np.array(self.need, np.int64)
 
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal of a band) of all bands with enough shared q-grams."""
+    def regions(self, codes: np.ndarray, window: int = 1 << 20) -> list[tuple[int, int]]:
+        """(passage, first diagonal of a band) of all bands with enough shared q-grams.
+
+        A text of more than window characters is read in windows that overlap by the longest match, so memory is bounded by the window.
+        """
+        reach = max(map(len, self.codes), default=0) + int(self.budget.max(initial=0))
+        size = max(window, 2 * reach)
+        if len(codes) <= size:
+            return self._regions(codes, 0)
+        out: dict[tuple[int, int], None] = {}
+        for at in range(0, max(1, len(codes) - reach), size - reach):
+            out |= dict.fromkeys(self._regions(codes[at : at + size], at))
+        return list(out)
+
+    def _regions(self, codes: np.ndarray, offset: int) -> list[tuple[int, int]]:
         if len(codes) < self.q or not len(self.hash):
             return []
         g = grams(codes, self.q)
@@ -111,7 +126,7 @@ class Passages:
         keep = enough[owner]
         if not keep.any():
             return []
-        owner, place, diagonal = owner[keep], place[keep], pos[keep] - place[keep]
+        owner, place, diagonal = owner[keep], place[keep], pos[keep] + offset - place[keep]
         half = self.budget[owner] + 1
         band = diagonal // half
         out = []
@@ -161,10 +176,10 @@ def align(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int
         begin = np.where(up, np.concatenate([begin[:, 1:], begin[:, -1:]], axis=1), begin)
         ends = first[:, None] + col + i + 1
         cost = np.where((ends >= 0) & (ends <= size[:, None]) & (col < width[:, None]), cost, far)
-        slide = (cost - col) * (1 << 10) + col
+        slide = (cost - col) * (1 << 20) + col
         low = np.minimum.accumulate(slide, axis=1)
-        source = low & 1023
-        cost = np.minimum(cost, (low >> 10) + col)
+        source = low & ((1 << 20) - 1)
+        cost = np.minimum(cost, (low >> 20) + col)
         begin = np.take_along_axis(begin, np.where(cost < far, source, col), axis=1)
         for j in np.flatnonzero(length == i + 1):
             c = int(cost[j].argmin())
@@ -179,7 +194,14 @@ def matches(texts: list[str], passages: Passages, at_once: int = 512) -> list[li
 
     def verify() -> None:
         jobs.sort(key=lambda j: len(j[3]))
-        for (k, o, at, *_), found in zip(jobs, align([(codes, passage, d, w) for *_, passage, d, w, codes in jobs]), strict=True):
+        parts: list[list[tuple]] = []
+        for j in jobs:  # those of few cells together, long passages apart
+            if parts and (len(parts[-1]) + 1) * (len(j[3]) + j[5]) <= CELLS:
+                parts[-1].append(j)
+            else:
+                parts.append([j])
+        aligned = [x for part in parts for x in align([(codes, passage, d, w) for *_, passage, d, w, codes in part])]
+        for (k, o, at, *_), found in zip(jobs, aligned, strict=True):
             if found and found[2] > found[1] and found[0] <= passages.budget[o]:
                 d, b, e = found
                 best[k][o] = min(best[k].get(o, (1 << 30, 0, 0)), (d, int(at[b]), int(at[e - 1]) + 1))
