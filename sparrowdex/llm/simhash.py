@@ -20,6 +20,8 @@ from sparrowdex.llm.components import components
 from sparrowdex.storage import materialise, ship
 
 SEED = 42
+#: A node of a tree with fewer points of the sample is not split.
+FEWEST = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -64,7 +66,7 @@ def grow(sample: np.ndarray, total: int, mask: np.uint64, r: int, leaf: int, see
     def build(points: np.ndarray) -> int:
         at = len(nodes)
         nodes.append(None)
-        if len(points) * total <= leaf * max(1, len(sample)) or len(points) < 16:
+        if len(points) * total <= leaf * max(1, len(sample)) or len(points) < FEWEST:
             return at
         best = None
         for v in rng.choice(points, size=min(12, len(points)), replace=False):
@@ -136,27 +138,28 @@ def linked(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 2048, sample: int = 20000) -> DataFrame:
+def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 2048, sample: int = 20_000, most_sample: int = 1_000_000) -> DataFrame:
     """nodes (fp, node), distinct fingerprints -> edges (u, v) that connect all fingerprints within radius bits.
 
-    sample bounds the fingerprints that shape the trees (the trees are what is sent to executors); every
-    fingerprint is routed and compared. Edges form a star per shard and local component: no more rows than
-    the shards hold.
+    The trees are shaped by a sample of fingerprints and sent to executors: sample of them, or as many as leaves of about leaf
+    fingerprints need, but no more than most_sample. Every fingerprint is routed and compared. Edges form a star per shard and
+    local component: no more rows than the shards hold.
     """
     spark = nodes.sparkSession
     ship(spark)
     total = nodes.count()
+    sample = min(most_sample, max(sample, total * FEWEST // leaf))
     chance = min(1.0, 1.2 * sample / max(1, total))
     drawn = nodes.select("fp", F.xxhash64("fp").alias("h")).where(F.col("h") <= F.lit(int(-(2**63) + chance * (2**64 - 1)) if chance < 1 else 2**63 - 1)).orderBy("h", "fp").limit(sample)
     points = np.array([x["fp"] for x in drawn.collect()], np.int64).view(np.uint64)
     r, m = radius // parts, masks(parts)
-    trees = [grow(points, total, x, r, leaf) for x in m]
+    trees = spark.sparkContext.broadcast([grow(points, total, x, r, leaf) for x in m])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             for part in range(parts):
-                for at, home, guest in route(trees[part], fp.view(np.uint64), m[part], r):
+                for at, home, guest in route(trees.value[part], fp.view(np.uint64), m[part], r):
                     idx = np.concatenate([home, guest])
                     if len(idx):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), part << 24 | at, np.int64)), pa.array(fp[idx]), node.take(pa.array(idx)), pa.array(np.arange(len(idx)) < len(home))], names=["shard", "fp", "node", "home"])
