@@ -91,6 +91,34 @@ def test_banded_search_equals_full_alignment(docs, spark):
         assert not found or found[0][3] == d
 
 
+def test_long_texts_are_read_in_windows():
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    passages = [(i, word(int(n))) for i, n in enumerate(rng.integers(60, 400, 12))]
+    text = "".join(word(700) + passages[int(i)][1] for i in rng.integers(0, 12, 40))
+    p = decontaminate.Passages(passages, 8, 0.1)
+    codes, _ = decontaminate.normalise(text)
+    whole_text = p.regions(codes)
+    assert len(whole_text) > 40 and len(codes) > 20 * 1000
+    for window in (1, 1000, 5000):
+        assert sorted(set(p.regions(codes, window))) == sorted(set(whole_text))
+
+
+def test_a_long_passage_is_found_with_its_edits():
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    passage = word(9_000)
+    cut = sorted(rng.choice(9_000, 120, replace=False).tolist())
+    edited = "".join(c for i, c in enumerate(passage) if i not in set(cut))
+    # All of the left-out characters near the end, so that the match leaves its diagonal widely.
+    shifted = passage[:8_000] + word(300) + passage[8_000:]
+    p = decontaminate.Passages([(1, passage)], 8, 0.1)
+    assert 2 * (int(p.budget[0]) + 1) > 1024
+    found = decontaminate.matches([word(500) + edited + word(500), word(50) + shifted, word(9_000)], p)
+    assert [[(i, d <= 120) for i, _, _, d in x] for x in found[:1]] == [[(1, True)]]
+    assert [(i, d <= 300) for i, _, _, d in found[1]] == [(1, True)] and found[2] == []
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(7, "same text of a few words here"), (7, "same text of a few words here"), (8, None), (9, ""), (None, "x" * 50)], "item_id long, text string")
     hits = sorted(tuple(r) for r in decontaminate.contaminated(odd, bench).collect())
@@ -357,6 +385,17 @@ def test_trees_find_every_link(spark, spread):
     assert [links.get(k, k) for k in range(len(fps))] == slow_components(list(range(len(fps))), fps, 4)
 
 
+def test_the_sample_of_the_trees_follows_the_input(spark):
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(-(2**63), 2**63, 4_000, dtype=np.int64))
+    fps = np.unique(np.concatenate([fps, fps[::7] ^ 5, fps[::9] ^ (1 << 40)]))
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps)], "fp long, node long")
+    one = {tuple(r) for r in components.components(simhash.near_edges(rows)).collect()}
+    for small in ({"sample": 64, "leaf": 64}, {"sample": 1, "leaf": 64, "most_sample": 500}):
+        assert {tuple(r) for r in components.components(simhash.near_edges(rows, **small)).collect()} == one
+    assert len(one) > 900
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3), (3, 2)]
     got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
