@@ -186,4 +186,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def op5(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rows = docs.select("doc_id", "text")
-    return judged(rows, learn(rows, labels)).select("doc_id", *(F.col(P + n).alias(n) for n in names), F.col(P + "rule").alias("rule"))
+    # Naming the row number in each column keeps callers' filters above the statistics, as in where().
+    held = lambda n: F.when(F.col(P + "row") >= 0, F.col(P + n)).alias(n)
+    return judged(rows, learn(rows, labels)).select("doc_id", *(held(n) for n in [*names, "rule"]))
