@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,25 +44,36 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return to.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, fold: int = 16) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted seeds along links, and from blocked seeds against them.
 
     seeds (host, trust, distrust): weights from 0 to 1. Score = (1 - damping) * sum over k of damping^k times the
     seeds moved k links on, a host's score dealt to its links by their counts; hosts without links pass nothing on. A round is one
-    join on the host and one sum with partial sums on the map side; the rounds end when what still moves is below tolerance.
+    join on the host and one sum with partial sums on the map side; the rounds end when what still moves is below tolerance, as a share of the seeds, of trust and of distrust
+    alike. As damping is left of it in a round at most, this is reached after log(tolerance) / log(damping) rounds (86); if it is not, that is
+    an error. rounds, if given, ends the sum there whatever still moves. Every fold rounds the sum is stored as one table.
     """
+    if not 0 <= damping < 1 or not 0 < tolerance < 1:
+        raise ValueError("damping must be in 0..1 and tolerance between 0 and 1")
     both = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
     links = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
     graph = materialise(both.join(links, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")), "graph")
     now = seeds.select(F.lit(0).alias("kind"), "host", (F.col("trust") * (1 - damping)).alias("r")).unionByName(seeds.select(F.lit(1).alias("kind"), "host", (F.col("distrust") * (1 - damping)).alias("r"))).where("r > 0")
-    moved = [materialise(now, "seeds")]
-    for _ in range(rounds):
-        last = moved[-1]
+    kinds = lambda step: {r["kind"]: r["s"] for r in step.groupBy("kind").agg(F.sum("r").alias("s")).collect()}
+    last = materialise(now, "seeds")
+    moved, given = [last], kinds(last)
+    most = math.ceil(math.log(tolerance) / math.log(damping)) + 1 if damping else 1
+    for _ in range(most if rounds is None else rounds):
         step = graph.join(last.select("kind", F.col("host").alias("a"), "r"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("w") * F.col("r") * damping).alias("r")).where(F.col("r") > 0)
-        step = materialise(step, "step")
-        if (step.agg(F.sum("r").alias("s")).first()["s"] or 0.0) < tolerance:
+        last = materialise(step, "step")
+        if all(s < tolerance * given[k] for k, s in kinds(last).items()):
             break
-        moved.append(step)
+        moved.append(last)
+        if len(moved) > fold:
+            moved = [materialise(reduce(DataFrame.unionByName, moved).groupBy("kind", "host").agg(F.sum("r").alias("r")), "sum")]
+    else:
+        if rounds is None:
+            raise RuntimeError("propagate: what still moves is not below tolerance")
     every = reduce(DataFrame.unionByName, moved)
     return every.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
