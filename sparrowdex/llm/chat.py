@@ -39,11 +39,15 @@ def render(turns: Column, written: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>> of a rendered conversation: turns lie between control strings, a role ends at the first line feed."""
+    """array<struct<role, text>> of a rendered conversation: turns lie between control strings, a role ends at the first line feed.
+
+    A turn ends at its first END, which a line feed and the end of the turn must follow; the text of any other turn is null.
+    """
     turns = F.filter(F.split(formatted, "<\\|im_start\\|>"), lambda x, i: i > 0)
-    body = lambda x: F.regexp_extract(x, "(?s)^([^\\n]*)\\n(.*?)<\\|im_end\\|>\\n$", 2)
+    whole = "(?s)^([^\\n]*)\\n(.*)<\\|im_end\\|>\\n\\z"
+    body = lambda x: F.regexp_extract(x, whole, 2)
     head = lambda x: F.regexp_extract(x, "(?s)^([^\\n]*)\\n", 1)
-    return F.transform(turns, lambda x: F.struct(unescape_role(head(x)).alias("role"), unescape(body(x)).alias("text")))
+    return F.transform(turns, lambda x: F.struct(unescape_role(head(x)).alias("role"), F.when(x.rlike(whole) & ~body(x).contains(END), unescape(body(x))).alias("text")))
 
 
 def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
