@@ -25,7 +25,7 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 #: Read as text up to their end tag, so that tags inside them do not count.
 VERBATIM = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Parts of a page that are not its article, by tag, role or a word of class or id.
+#: Parts of a page that are not its article, by tag, role or a whole class or id.
 ASIDE = frozenset("nav footer aside form menu dialog button search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
@@ -36,13 +36,14 @@ BORDERS = frozenset("table td th button object html body article section div asi
 
 
 class Node:
-    __slots__ = ("tag", "items", "parent", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "items", "parent", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
         self.tag, self.parent, self.aside = tag, parent, aside
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.named = False
 
 
 def is_aside(tag: str, attributes: str, within: Node) -> bool:
@@ -58,11 +59,36 @@ def is_aside(tag: str, attributes: str, within: Node) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w in WORDS for w in re.split(r"[\s_-]+", value)):
-            return True
     return False
 
 
+def is_named(tag: str, attributes: str) -> bool:
+    """Whether the id or a class, as a whole, is the name of an aside."""
+    if tag in ("html", "body", "article", "main") or not attributes.strip():
+        return False
+    return any(w in WORDS for name, value in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in value.strip("\"'").lower().split())
+
+
+def judge_named(root: Node) -> None:
+    """Makes asides of the elements named so, but for those that hold main, the page's first article or over half of its text out of links."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        order.append((node, linked))
+        stack += [(x, linked or x.tag == "a") for x in reversed(node.items) if isinstance(x, Node) and not x.aside]
+    if not any(n.named for n, _ in order):
+        return
+    first = next((n for n, _ in order if n.tag == "article"), None)
+    text: dict[int, int] = {}
+    holds: set[int] = set()
+    for node, linked in reversed(order):
+        text[id(node)] = sum(text[id(x)] if isinstance(x, Node) else 0 if linked else len(" ".join(x.split())) for x in node.items if not isinstance(x, Node) or not x.aside)
+        if node is first or node.tag == "main" or any(id(x) in holds for x in node.items):
+            holds.add(id(node))
+    for node, _ in order:
+        node.aside = node.named and id(node) not in holds and 2 * text[id(node)] <= text[id(root)]
+
+
 def tree(page: str) -> Node:
     """The DOM as browsers repair it, near enough: void elements, implied ends, raw text, stray end tags; iterative, so depth is free."""
     root = Node("#root", None)
@@ -103,6 +129,7 @@ def tree(page: str) -> Node:
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
         node = Node(tag, here, is_aside(tag, m[3], here))
+        node.named = not node.aside and is_named(tag, m[3])
         here.items.append(node)
         if tag in VERBATIM:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -111,6 +138,7 @@ def tree(page: str) -> Node:
                 at = page.find(">", at) + 1 or n
         elif tag not in VOID and not (m[3].endswith("/") and tag in RAW):
             here = node
+    judge_named(root)
     return root
 
 
