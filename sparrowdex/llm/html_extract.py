@@ -29,6 +29,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("nav footer aside form menu dialog button search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_ENDS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "legend", "summary", "figcaption"}
 #: A start tag ends an open element of these, if no border lies between.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -203,9 +204,11 @@ def chosen(root: Node) -> list[Node]:
         threshold, x = min(threshold, x.parent.density), x.parent
     x = best
     while x is not body and x.parent is not None:
-        for y in x.parent.items:
-            if isinstance(y, Node) and not y.aside and y is not x and y.density >= threshold and y.chars and y.link_chars < 0.3 * y.chars and (y.tag == x.tag or y.tag in ("p", "article", "section", "h1")):
-                keep.add(id(y))
+        beside = [y for y in x.parent.items if isinstance(y, Node) and not y.aside]
+        kept = [i for i, y in enumerate(beside) if y is x or y.chars and y.density >= threshold]
+        dense = set(kept)
+        # Headings are short, so those between kept blocks stay whatever their density.
+        keep.update(id(y) for i, y in enumerate(beside) if y is not x and (i in dense or kept[0] < i < kept[-1] and y.tag in HEADINGS))
         x = x.parent
     out, stack = [], [body]
     while stack:
