@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex.storage import materialise
+
 #: Notices by which licences are recognised (fixed values: the licences' own customary wording).
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -42,8 +44,9 @@ def scored(files: DataFrame, templates: dict[str, str], path_col: str = "path",
     """(path, license, score): the licence of each file's best statement by TF-IDF cosine; files without a statement have no row.
 
     Inverse document frequencies are ln((1 + N) / (1 + df)) + 1 over all statements and templates, where a repeated statement counts
-    once; df is counted for the templates' terms, whose number bounds what comes to the driver, and other terms weigh
-    like those never seen. Of equal scores the first name wins.
+    once; df is counted for every term. Only the templates' terms come to the driver. Terms with over a thousandth of all
+    rows, which are fewer than a thousand, and the templates' are joined by broadcast, so no task holds a frequent
+    term; the others by a shuffle. Of equal scores the first name wins.
     """
     spark = files.sparkSession
     found = statements(files, path_col, text_col)
@@ -54,15 +57,20 @@ def scored(files: DataFrame, templates: dict[str, str], path_col: str = "path",
     for r in table.collect():
         in_templates[r["term"]][r["name"]] = r["tf"]
     distinct = found.select("line").distinct()
-    seen = distinct.select(F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).where(F.col("term").isin(*in_templates)).groupBy("term").agg(F.count("*").alias("df")).collect()
-    df = {r["term"]: r["df"] for r in seen}
+    seen = distinct.select(F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    tf = materialise(tokens.groupBy("path", "of", "part", "term").agg(F.count("*").alias("tf")), "terms")
+    stats = materialise(seen.join(tf.groupBy("term").agg(F.count("*").alias("n")), "term"), "frequencies")
+    rows = stats.agg(F.sum("n").alias("n")).first()["n"] or 0
+    df = {r["term"]: r["df"] for r in stats.where(F.col("term").isin(*in_templates)).collect()}
     total = distinct.count() + len(names)
     vocabulary = spark.createDataFrame([(t, [float(of.get(n, 0)) for n in names], len(of) + df.get(t, 0)) for t, of in sorted(in_templates.items())], "term string, of array<double>, df long")
     idf = lambda d: F.log((F.lit(1.0) + total) / (F.lit(1.0) + d)) + 1.0
     weighed = vocabulary.select(F.col("term").alias("t"), "of", idf(F.col("df")).alias("idf"))
     norms = weighed.agg(*(F.sqrt(F.sum(F.pow(F.get("of", F.lit(k)) * F.col("idf"), 2))).alias(f"n{k}") for k in range(len(names)))).first()
-    tf = tokens.groupBy("path", "of", "part", "term").agg(F.count("*").alias("tf"))
-    joined = tf.join(F.broadcast(weighed.withColumnRenamed("of", "in")), F.col("term") == F.col("t"), "left").withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(0))))
+    others = stats.where(~F.col("term").isin(*in_templates)).select(F.col("term").alias("t"), F.lit(None).cast("array<double>").alias("in"), idf(F.col("df")).alias("idf"), (F.col("n") * 1000 > rows).alias("hot"))
+    hot = F.broadcast(weighed.withColumnRenamed("of", "in").unionByName(others.where("hot").drop("hot")))
+    by = F.col("term") == F.col("t")
+    joined = tf.join(hot, by).unionByName(tf.join(hot.select("t"), by, "left_anti").join(others.where("not hot").drop("hot"), by)).withColumn("w", F.col("tf") * F.col("idf"))
     dots = [F.sum(F.col("w") * F.coalesce(F.get("in", F.lit(k)), F.lit(0.0)) * F.col("idf")).alias(f"d{k}") for k in range(len(names))]
     sums = joined.groupBy("path", "of", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     best = F.array_max(F.array(*(F.struct(F.round(F.coalesce(F.col(f"d{k}"), F.lit(0.0)) / (F.col("norm") * norms[f"n{k}"]), 9).alias("score"), F.lit(-k).alias("k"), F.lit(n).alias("license")) for k, n in enumerate(names))))
