@@ -31,21 +31,29 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def cache_line(engine) -> None:
+    if engine.cache_use:
+        print("Questions: {questions}, from the cache: {hits}".format(**engine.cache_use))
+
+
 def run(engine, a: argparse.Namespace) -> None:
     """One command; what it reports goes to the standard output."""
     bonus = validate.flag(getattr(a, "bonus", "n"))
     match a.command:
         case "index":
             print(f"Index published: {engine.index(a.corpus, a.max_chunk_size, bonus)}")
+            print("Files: {files}, skipped by kind: {skipped}, not UTF-8: {unreadable}".format(**engine.seen))
         case "search":
             for r in engine.search(a.query, a.k, bonus).collect():
                 print(f"{r['path']} [{r['first']}:{r['last']}]")
         case "search_dataset":
             print(f"Results saved: {engine.search_dataset(a.dataset_path, validate.count(a.k), a.save_directory, bonus)}")
+            cache_line(engine)
         case "answer":
             print(engine.answer(a.query, a.k))
         case "answer_dataset":
             print(f"Answers saved: {engine.answer_dataset(a.student_search_results_path, a.save_directory, bonus)}")
+            cache_line(engine)
         case "evaluate":
             rows = engine.evaluate(a.student_search_results_path, a.dataset_path, a.k).collect()
             print(f"Questions: {rows[0]['num_questions']}")

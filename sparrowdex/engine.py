@@ -15,7 +15,7 @@ from functools import cached_property
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowdex import schemas, validate
@@ -36,6 +36,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, home: str, encoder: Callable = encode.HashedWords, generator: Callable[[str, str], str] = answers.first_line, model: str = "first-line", system: str = answers.SYSTEM):
         self.spark, self.home, self.encoder, self.generator, self.model, self.system = spark, home.rstrip("/"), encoder, generator, model, system
+        #: Counts of the last index call (files, skipped, unreadable) and of the last call with a cache (questions, hits).
+        self.seen: dict[str, int] = {}
+        self.cache_use: dict[str, int] = {}
 
     # -- index
 
@@ -43,7 +46,11 @@ class Engine:
         """Index the files below root and publish; the folder of the new index. The index before it stays for readers that still use it, older ones go."""
         size = validate.chunk_size(max_chunk_size)
         at = f"{self.home}/{PREFIX}{uuid.uuid4().hex}"
-        corpus.files(self.spark, root, prefix).write.parquet(f"{at}/files")
+        seen = Observation("files")
+        corpus.files(self.spark, root, prefix, seen).write.parquet(f"{at}/files")
+        self.seen = seen.get
+        if self.seen["unreadable"]:
+            warnings.warn(f"{self.seen['unreadable']} files are not UTF-8 and were left out", stacklevel=2)
         files = self.spark.read.parquet(f"{at}/files")
         chunks = chunking.chunk(files.withColumn("doc_id", F.lit(0)), most=size).drop("doc_id")
         order = [F.col("path").endswith(".py").desc(), F.col("path"), F.col("first"), F.col("last")]
@@ -114,6 +121,7 @@ class Engine:
         keyed = materialise(questions.withColumn("key", X.search_key(F.lit(k), F.col("question"))), "requests")
         cache = self._cache("search_cache", schemas.SEARCH_CACHE)
         hits, misses = answers.split_by_cache(keyed, cache)
+        self._counted(keyed, hits)
         fresh = misses.groupBy("key").agg(F.min("question_id").alias("question_id"), F.first("question").alias("question"))
         new = self.spark.createDataFrame([], schemas.SEARCH_CACHE)
         if not fresh.isEmpty():
@@ -131,6 +139,10 @@ class Engine:
         """A cache of one row per key; what cannot be read is an empty cache."""
         return corpus.cache(self.spark, f"{self.tables[0]}/{name}", schema).dropDuplicates(["key"])
 
+    def _counted(self, requests: DataFrame, hits: DataFrame) -> None:
+        """What the last cached call found: questions asked, and those that the cache answered."""
+        self.cache_use = {"questions": requests.count(), "hits": hits.count()}
+
     def _remember(self, name: str, rows: DataFrame) -> None:
         """Append to a cache; failing to is a warning, as answers do not depend on it."""
         try:
@@ -178,6 +190,7 @@ class Engine:
             return kept.join(made, "place")
         cache = self._cache("answer_cache", schemas.ANSWER_CACHE)
         hits, misses = answers.split_by_cache(prompted, cache)
+        self._counted(prompted, hits)
         fresh = misses.dropDuplicates(["key"]).join(kept.select(F.col("place").alias("question_id"), F.col("retrieved_sources").alias("sources")), "question_id")
         new = materialise(answers.generate(fresh, self.generator, self.system).select("key", "sources", "answer"), "fresh")
         self._remember("answer_cache", new)

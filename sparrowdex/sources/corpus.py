@@ -3,26 +3,66 @@
 from __future__ import annotations
 
 import json
+import re
+import warnings
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparrowdex import schemas
 from sparrowdex.functions import text as X
-
-
-def files(spark, root: str, prefix: str = "data/raw") -> DataFrame:
-    """(path, text) of the files below root that are not skipped by kind and are valid UTF-8; paths are prefix and the way from root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    way = F.concat(F.lit(prefix + "/"), F.element_at(F.split("path", F.lit(_quoted(root.rstrip("/").split("//")[-1]) + "/"), 2), -1))
-    text = F.expr("try_validate_utf8(cast(content as string))")
-    rows = raw.select(way.alias("path"), text.alias("text")).where((X.route(F.col("path")) != "skip") & F.col("text").isNotNull())
+from sparrowdex.storage import exists, listing, partitions, ship
+
+
+def _hidden(spark, names: list[str]) -> DataFrame:
+    """(path, content) of files that Spark's reader leaves out; workers open them by Arrow's file systems."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                scheme, _, way = name.partition(":")
+                fs, at = (LocalFileSystem(), way) if scheme == "file" else FileSystem.from_uri(name.replace("s3a:", "s3:", 1))
+                with fs.open_input_stream(at) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    rows = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), partitions(spark))))
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def files(spark, root: str, prefix: str = "data/raw", seen: Observation | None = None) -> DataFrame:
+    """(path, text) of the files below root that are not skipped by kind and are valid UTF-8; paths are prefix and the way from root.
+
+    Files and folders whose names begin with "_" or "." and empty files are read like any other. root may be relative. seen, if given, counts
+    files, skipped (by kind) and unreadable (not UTF-8) ones when the result is first computed. Names are listed on the
+    driver, as Spark's own reader does; contents are read by executors only.
+    """
+    full, names = listing(spark, root)
+    below = len(full) + 1
+    left_out = [n for n, size in names if not size or any(x[:1] in ("_", ".") or x.endswith("._COPYING_") for x in n[below:].split("/"))]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_plain(full)).select("path", "content")
+    if left_out:
+        known = raw.select("path").join(F.broadcast(spark.createDataFrame([(n,) for n in left_out], "path string")), "path", "left_semi")
+        twice = {r["path"] for r in known.collect()}
+        raw = raw.unionByName(_hidden(spark, [n for n in left_out if n not in twice]))
+    way = F.concat(F.lit(prefix + "/"), F.substring("path", below + 1, 1 << 30))
+    held = raw.select(way.alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("text")).withColumn("route", X.route(F.col("path")))
+    if seen:
+        skipped = F.col("route") == "skip"
+        held = held.observe(seen, F.count("*").alias("files"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & F.col("text").isNull()).alias("unreadable"))
+    rows = held.where((F.col("route") != "skip") & F.col("text").isNotNull()).drop("route")
     return rows.withColumn("text", F.when(F.col("path").endswith(".py"), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text")))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def _plain(path: str) -> str:
+    """path with the characters escaped that would make a pattern of it."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def _one(spark, path: str, schema: str) -> DataFrame:
@@ -53,10 +93,14 @@ def write_document(rows: DataFrame, name: str, path: str, **more) -> None:
 
 
 def cache(spark, path: str, schema: str) -> DataFrame:
-    """The cache table, or an empty one where none can be read."""
+    """The cache table; an empty one, with a warning where there is something, if it cannot be read."""
+    none = spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return none
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+        rows = spark.read.schema(schema).parquet(path)
+        rows.agg(*(F.max(F.hash(c)) for c in rows.columns)).collect()  # damage shows only when columns are read
+        return rows
+    except (PySparkException, Py4JError) as e:
+        warnings.warn(f"the cache {path} cannot be read and counts as empty: {str(e)[:200]}", stacklevel=2)
+        return none

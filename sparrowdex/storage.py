@@ -1,4 +1,4 @@
-"""Tables that cut lineage, kept where the driver and every executor can read them."""
+"""Tables that cut lineage, kept where the driver and every executor can read them, and removed when the application ends."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders of applications that are already marked to be deleted at their end.
+_marked: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,9 +26,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where none is set, as in local tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one where none is set and all runs on this machine, as in tests."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="sparrowdex-")
@@ -35,22 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparrowdex/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps survive lost executors and never recompute it."""
+    """A new place in the application's own folder there, which the file system deletes when the application ends."""
+    own = f"{shared_dir(spark)}/sparrowdex/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        fs, p = _at(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and its path: later steps survive lost executors and never recompute it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that shared_path named."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,6 +76,17 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def listing(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]:
+    """(root in full, (path in full, bytes) of all files below it), whatever they are named."""
+    fs, p = _at(spark, root)
+    full = fs.makeQualified(p)
+    out, found = [], fs.listFiles(full, True)
+    while found.hasNext():
+        file = found.next()
+        out.append((file.getPath().toString(), file.getLen()))
+    return full.toString().rstrip("/"), sorted(out)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)
