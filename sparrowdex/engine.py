@@ -6,7 +6,6 @@ use and is replaced by a rename. Caches and embeddings lie inside that folder, s
 
 from __future__ import annotations
 
-import dataclasses
 import json
 import uuid
 import warnings
@@ -27,8 +26,6 @@ from sparrowdex.sources import corpus
 from sparrowdex.storage import children, drop_path, exists, materialise, read_text, write_text
 
 CURRENT, PREFIX = "CURRENT", "index-"
-#: Questions of one call whose terms are sent with the plan, so that the scan of the postings is pruned by them.
-MOST_TERMS = 1000
 
 
 class Engine:
@@ -59,8 +56,7 @@ class Engine:
         if terms.isEmpty():
             drop_path(self.spark, at)
             raise ValueError(f"no chunk was made from {root}")
-        built = index.build(terms, stem=True)
-        dataclasses.replace(built, chunks=terms.select("chunk_id", "path", "first", "last", "text")).write(at)
+        index.publish(terms, at, stem=True)
         if embeddings:
             self._embed(at)
         before = read_text(self.spark, f"{self.home}/{CURRENT}")
@@ -103,9 +99,7 @@ class Engine:
         """(question_id, path, first, last, rank) of the k best chunks for questions (question_id, question): min(k, chunks) rows each."""
         ix = self.tables[1]
         terms = materialise(rank.question_terms(questions, stem=True), "question-terms")
-        named = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-        if len(named) <= MOST_TERMS:  # the scan then reads only row groups that hold one of them
-            ix = dataclasses.replace(ix, postings=ix.postings.where(F.col("term").isin(*named)), term_stats=ix.term_stats.where(F.col("term").isin(*named)))
+        ix = rank.narrowed(ix, terms)
         scored = materialise(rank.scores(ix, terms, boosted=True), "scored")
         if hybrid:
             asked = encode.embed(questions, self.encoder, "question_id", "question").withColumnRenamed("embedding", "vector")

@@ -65,7 +65,13 @@ def search_key(k: Column, query: Column) -> Column:
     return F.when(k.isNull() | (k == 0), query).otherwise(F.concat_ws("::", k.cast("string"), query))
 
 
+def json_text(text: Column) -> Column:
+    """A JSON string, with quotes, backslashes, line ends and control characters escaped; other characters stand for themselves. null for null."""
+    whole = F.to_json(F.array(text), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
 def answer_key(query: Column, k: Column, model: Column, max_tokens: Column, system: Column, context: Column) -> Column:
     """A JSON array of the call's parameters and a short digest of its prompt."""
     digest = F.substring(F.sha2(F.concat(system, context), 256), 1, 12)
-    return F.concat(F.lit('["'), F.replace(F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('", '), k.cast("string"), F.lit(', "'), model, F.lit('", '), max_tokens.cast("string"), F.lit(', "'), digest, F.lit('"]'))
+    return F.concat(F.lit("["), json_text(query), F.lit(", "), k.cast("string"), F.lit(", "), json_text(model), F.lit(", "), max_tokens.cast("string"), F.lit(', "'), digest, F.lit('"]'))

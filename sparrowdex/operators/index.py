@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparrowdex.functions import scoring as S
 from sparrowdex.functions import text as X
 from sparrowdex.functions.stem import stems
+from sparrowdex.storage import drop_path
 
 
 def chunk_terms(chunks: DataFrame, least: int = S.MIN_TOKENS) -> DataFrame:
@@ -35,25 +36,63 @@ class Index:
 
     NAMES = ("chunks", "postings", "term_stats", "stats")
 
-    def write(self, path: str) -> None:
-        for name in self.NAMES:
-            table = getattr(self, name)
-            (table.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else table).write.mode("overwrite").parquet(f"{path}/{name}")
-
     @classmethod
     def read(cls, spark, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in cls.NAMES))
 
 
-def build(terms: DataFrame, stem: bool = False) -> Index:
-    """terms (chunk_id, path, first, last, terms). The length of a chunk counts its terms; a chunk without terms counts in n."""
-    sized = terms.withColumn("dl", F.size("terms"))
-    pairs = sized.select("chunk_id", "dl", F.explode("terms").alias("term"))
-    pairs = stemmed(pairs) if stem else pairs
-    postings = pairs.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.avg(F.col("path").endswith(".py").cast("double")).alias("py_share"))
+def postings_of(terms: DataFrame, stem: bool = False) -> DataFrame:
+    """(chunk_id, term, tf, dl) of terms (chunk_id, terms)."""
+    pairs = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return (stemmed(pairs) if stem else pairs).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def totals(terms: DataFrame) -> DataFrame:
+    """One row (n, avgdl, py_share); a chunk without terms counts."""
+    return terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"), F.avg(F.col("path").endswith(".py").cast("double")).alias("py_share"))
+
+
+def unfloored(postings: DataFrame, total: DataFrame) -> DataFrame:
+    """(term, df, idf0): inverse document frequencies before the floor."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(total).select("term", "df", S.idf(F.col("df"), F.col("n")).alias("idf0"))
-    mean = raw.agg(F.avg("idf0").alias("avg_idf"))
-    floored = raw.crossJoin(mean).select("term", "df", F.when(F.col("idf0") < 0, S.EPSILON * F.col("avg_idf")).otherwise(F.col("idf0")).alias("idf"))
-    return Index(sized.select("chunk_id", "path", "first", "last"), postings, floored, total.crossJoin(mean))
+    return df.crossJoin(F.broadcast(total.select("n"))).select("term", "df", S.idf(F.col("df"), F.col("n")).alias("idf0"))
+
+
+def floored(raw: DataFrame, mean: DataFrame) -> DataFrame:
+    """(term, df, idf): negative ones become a share of the mean."""
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") < 0, S.EPSILON * F.col("avg_idf")).otherwise(F.col("idf0")).alias("idf"))
+
+
+def average(raw: DataFrame) -> DataFrame:
+    return raw.agg(F.avg("idf0").alias("avg_idf"))
+
+
+def build(terms: DataFrame, stem: bool = False) -> Index:
+    """terms (chunk_id, path, first, last, terms), all computed when asked for. The length of a chunk counts its terms; a chunk without terms counts in n."""
+    postings, total = postings_of(terms, stem), totals(terms)
+    raw = unfloored(postings, total)
+    mean = average(raw)
+    return Index(terms.select("chunk_id", "path", "first", "last"), postings, floored(raw, mean), total.crossJoin(mean))
+
+
+def publish(terms: DataFrame, path: str, stem: bool = False) -> Index:
+    """build() as tables below path, each from those already written, so that postings are computed once.
+
+    terms is read three times, so give a stored table. Postings lie in the order of their terms, so a search reads the
+    row groups of its terms only. A column text of terms goes into the chunks.
+    """
+    spark = terms.sparkSession
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    put(terms.select("chunk_id", "path", "first", "last", *[c for c in terms.columns if c == "text"]), "chunks")
+    postings = put(postings_of(terms, stem).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    total = totals(terms)
+    raw = put(unfloored(postings, total), "frequencies")
+    mean = average(raw)
+    put(floored(raw, mean), "term_stats")
+    put(total.crossJoin(mean), "stats")
+    drop_path(spark, f"{path}/frequencies")
+    return Index.read(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from sparrowdex.functions import scoring as S
 from sparrowdex.functions import text as X
 from sparrowdex.operators.index import Index, stemmed
 from sparrowdex.operators.order import numbered
+from sparrowdex.storage import materialise
+
+#: Terms of one call's questions that are sent with the plan; with more, all postings are read and joined.
+MOST_TERMS = 1000
 
 
 def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
@@ -26,10 +32,22 @@ def boosts(chunks: DataFrame, share: DataFrame | None = None) -> DataFrame:
     return chunks.crossJoin(share).withColumn("boost", value).drop("share")
 
 
+def narrowed(index: Index, qterms: DataFrame, most: int = MOST_TERMS) -> Index:
+    """The index without terms that no question has, where they have no more than `most`: the scan of the postings then reads only row groups that hold one."""
+    named = [r["term"] for r in qterms.select("term").distinct().limit(most + 1).collect()]
+    if len(named) > most:
+        return index
+    asked = F.col("term").isin(*named) if named else F.lit(False)
+    return dataclasses.replace(index, postings=index.postings.where(asked), term_stats=index.term_stats.where(asked))
+
+
 def scores(index: Index, qterms: DataFrame, boosted: bool = False) -> DataFrame:
-    """(question_id, chunk_id, score) of chunks that share a term with the question, to 6 places."""
-    weight = qterms.join(index.term_stats.select("term", "idf"), "term")
-    hits = index.postings.join(weight, "term").crossJoin(index.stats.select("avgdl"))
+    """(question_id, chunk_id, score) of chunks that share a term with the question, to 6 places.
+
+    The questions' weighed terms are stored first: their true size then decides whether they are sent to the postings or both are shuffled.
+    """
+    weight = materialise(qterms.join(index.term_stats.select("term", "idf"), "term"), "weights")
+    hits = index.postings.join(weight, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     w = S.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("qtf")
     out = hits.groupBy("question_id", "chunk_id").agg(F.sum(w).alias("score"))
     if boosted:

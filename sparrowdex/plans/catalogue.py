@@ -10,7 +10,11 @@ from sparrowdex.functions import text as X
 from sparrowdex.functions.stem import stems
 from sparrowdex.operators import answer, chunking, encode, evaluate, index, rank
 from sparrowdex.sources import tables
-from sparrowdex.storage import materialise
+from sparrowdex.storage import drop_path, materialise, shared_path, stored, version
+
+
+#: Indexes by application and version of the table.
+_published: dict[tuple[str, str], str] = {}
 
 
 class Inputs:
@@ -30,17 +34,33 @@ class Inputs:
     def questions(self) -> DataFrame:
         return tables.questions(self.table("benchmark"))
 
+    @staticmethod
+    def chunked(files: DataFrame) -> DataFrame:
+        """Chunks of files cut as text; the id holds the document and the offset."""
+        return chunking.chunk(files, code=False).withColumn("chunk_id", F.shiftleft(F.col("doc_id"), 32) + F.col("first"))
+
     @property
     def chunks(self) -> DataFrame:
-        """Chunks of all files cut as text; the id holds the document and the offset."""
-        return chunking.chunk(self.files, code=False).withColumn("chunk_id", F.shiftleft(F.col("doc_id"), 32) + F.col("first"))
+        return self.chunked(self.files)
 
     @property
     def terms(self) -> DataFrame:
         return index.chunk_terms(self.chunks).drop("text")
 
     def index(self) -> index.Index:
-        return index.build(materialise(self.terms, "terms"))
+        """The index of the documents, published once for an application and read by every search, as long as the table stays as it is."""
+        key = (self.spark.sparkContext.applicationId, version(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if key not in _published:
+            path = shared_path(self.spark, "index")
+            terms, at = stored(self.terms, "terms")
+            index.publish(terms, path)
+            drop_path(self.spark, at)
+            _published[key] = path
+        return index.Index.read(self.spark, _published[key])
+
+    @property
+    def gold(self) -> DataFrame:
+        return materialise(tables.gold(self.files, self.questions), "gold")
 
     @property
     def vectors(self) -> DataFrame:
@@ -100,12 +120,12 @@ def corpus_stats(i):
 
 
 def idf_floor(i):
-    return i.index().term_stats.select("term", F.round("idf", 6).alias("idf"))
+    return index.build(materialise(i.terms, "terms")).term_stats.select("term", F.round("idf", 6).alias("idf"))
 
 
 def bm25(i, boosted=False):
-    ix = i.index()
-    return ix, rank.scores(ix, rank.question_terms(i.questions), boosted)
+    ix, asked = i.index(), materialise(rank.question_terms(i.questions), "question-terms")
+    return ix, rank.scores(rank.narrowed(ix, asked), asked, boosted)
 
 
 def bm25_scores(i):
@@ -171,13 +191,14 @@ def found(i, k=10):
 
 
 def iou_pairs(i):
-    gold = gold_spans(i)
-    candidates = i.chunks.join(gold.select("question_id", "path").distinct(), "path").select("question_id", "path", "first", "last")
+    gold = i.gold
+    held = i.files.join(gold.select("path").distinct(), "path", "left_semi")
+    candidates = i.chunked(held).join(gold.select("question_id", "path").distinct(), "path").select("question_id", "path", "first", "last")
     return evaluate.overlaps(candidates, gold).select("question_id", "path", "first", "g_first", F.round("iou", 6).alias("iou"))
 
 
 def recall_at_k(i):
-    return evaluate.recall(found(i), gold_spans(i))
+    return evaluate.recall(found(i), i.gold)
 
 
 def results_nested(i):
@@ -199,7 +220,7 @@ def answer_stub(i):
 
 
 def answer_cache_key(i):
-    key = X.answer_key(F.lit("q"), F.lit(3), F.lit("stub"), F.lit(answer.MAX_TOKENS), F.lit(answer.SYSTEM), F.col("question"))
+    key = X.answer_key(F.col("question"), F.lit(3), F.lit("stub"), F.lit(answer.MAX_TOKENS), F.lit(answer.SYSTEM), F.col("question"))
     return i.questions.select("question_id", key.alias("key"))
 
 
@@ -344,7 +365,7 @@ SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6
         "results_nested": f"{R}{FOUND} SELECT question_id, (rank - 1)::INT AS at, path AS file_path, first::INT AS first, last::INT AS last FROM found WHERE rank <= 5",
         "context_prompt": f"{R}{FOUND}, {PROMPT} SELECT question_id, length(prompt) AS n, md5(prompt) AS digest FROM prompts",
         "answer_stub": f"{R}{FOUND}, {PROMPT}, top AS (SELECT question_id, substring(text, first + 1, last - first) || chr(10) AS body FROM found JOIN files f ON f.path = found.path WHERE rank = 1) SELECT question_id, substring(body, 1, instr(body, chr(10)) - 1) AS answer FROM top",
-        "answer_cache_key": f"""SELECT item_id AS question_id, '["q", 3, "stub", {answer.MAX_TOKENS}, "' || substring(sha256('{answer.SYSTEM}' || text), 1, 12) || '"]' AS key FROM benchmark""",
+        "answer_cache_key": f"""SELECT item_id AS question_id, '[' || to_json(text)::VARCHAR || ', 3, "stub", {answer.MAX_TOKENS}, "' || substring(sha256('{answer.SYSTEM}' || text), 1, 12) || '"]' AS key FROM benchmark""",
         "search_cache_key": "SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN text ELSE (item_id % 3) || '::' || text END AS key FROM benchmark",
         "cache_hits": "SELECT item_id AS question_id FROM benchmark WHERE item_id < 20",
         "cache_misses": "SELECT item_id AS question_id FROM benchmark WHERE item_id >= 20",

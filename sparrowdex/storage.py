@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -87,6 +88,16 @@ def listing(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]
     return full.toString().rstrip("/"), sorted(out)
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files of a table: it changes when the table does."""
+    fs, p = _at(spark, path)
+    found, out = fs.listFiles(p, True), []
+    while found.hasNext():
+        file = found.next()
+        out.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)
