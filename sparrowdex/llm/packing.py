@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowdex.storage import materialise, partitions, ship
 
-_encoders: dict[str, Encoder] = {}
+#: Special tokens of the vocabulary byte_bpe_50k (fixed value).
+SPECIAL = (("<|endoftext|>", 50256),)
+_encoders: dict[tuple, Encoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -29,23 +32,24 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text."""
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; the special tokens' strings in a text become their ids."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+        self.encode = (lambda text: encoding.encode(text, allowed_special="all")) if special else encoding.encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    if ranks_path not in _encoders:
-        _encoders[ranks_path] = Encoder(ranks_path, pattern)
-    return _encoders[ranks_path]
+def encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = SPECIAL) -> Encoder:
+    if (ranks_path, special) not in _encoders:
+        _encoders[ranks_path, special] = Encoder(ranks_path, pattern, special)
+    return _encoders[ranks_path, special]
 
 
 def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -56,11 +60,11 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and then end_id, cut to the capacity.
 
-    Null and empty texts are one piece of one id. ranks: the vocabulary's file of ranks; the same ids as its
-    tokenizers file gives without special tokens.
+    Null and empty texts are one piece of one id. ranks: the vocabulary's file of ranks; with the special tokens of the
+    vocabulary the ids are those that its tokenizers file gives with add_special_tokens=False. special=() takes their strings for ordinary text.
     """
     import public_tokenizers
 
@@ -69,7 +73,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, special)
         for b in batches:
             rows: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -156,8 +160,8 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def class_ranks(pieces: DataFrame, length_col: str, counts: dict[int, int], keys: list[Column], block: int = 50_000) -> DataFrame:
-    """pieces with _rank, 0-based within their length.
+def class_ranks(pieces: DataFrame, counts: dict[int, int], keys: list[Column], block: int = 50_000) -> DataFrame:
+    """pieces (row, n) with rank, 0-based within their length n.
 
     Each length is dealt into blocks by a hash, more for a frequent one, ranked within the block and shifted by the
     counts of the blocks before it: no task holds a whole length, however many pieces have it.
@@ -165,23 +169,24 @@ def class_ranks(pieces: DataFrame, length_col: str, counts: dict[int, int], keys
     spark = pieces.sparkSession
     least = 2 * partitions(spark)
     total = max(1, sum(counts.values()))
-    table = spark.createDataFrame([(n, max(1, -(-k // block), -(-k * least // total))) for n, k in counts.items()] or [(0, 1)], "_n long, _blocks long")
-    dealt = pieces.join(F.broadcast(table), F.col(length_col) == F.col("_n")).withColumn("_block", F.pmod(F.xxhash64(*keys), F.col("_blocks"))).drop("_blocks")
-    before = dealt.groupBy("_n", "_block").agg(F.count("*").alias("_k")).select("_n", "_block", (F.sum("_k").over(Window.partitionBy("_n").orderBy("_block")) - F.col("_k")).alias("_before"))
-    ranked = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_n", "_block").orderBy(*keys)))
-    return ranked.join(before, ["_n", "_block"]).withColumn("_rank", F.col("_before") + F.col("_at") - 1).drop("_n", "_block", "_at", "_before")
+    table = spark.createDataFrame([(n, max(1, -(-k // block), -(-k * least // total))) for n, k in counts.items()] or [(0, 1)], "n long, blocks long")
+    dealt = pieces.join(F.broadcast(table), "n").withColumn("block", F.pmod(F.xxhash64(*keys), F.col("blocks"))).drop("blocks")
+    before = dealt.groupBy("n", "block").agg(F.count("*").alias("k")).select("n", "block", (F.sum("k").over(Window.partitionBy("n").orderBy("block")) - F.col("k")).alias("before"))
+    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("n", "block").orderBy(*keys)))
+    return ranked.join(before, ["n", "block"]).select("row", "n", (F.col("before") + F.col("at") - 1).alias("rank"))
 
 
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 2048, keys: list[str] | None = None) -> DataFrame:
-    """pieces with sequence_id and offset: sequences of at most capacity, gapless from offset 0.
+    """pieces with sequence_id and offset: sequences of at most capacity, gapless from offset 0; columns of pieces with these names give way.
 
     pieces is read three times, so give a stored table. keys order pieces of one length (all columns by default);
     rows equal in them are interchangeable. An empty table gives an empty one; a null length or one outside
     1..capacity is an error.
     """
     ship(pieces.sparkSession)
-    by = [F.col(k) for k in keys or pieces.columns]
-    counts = {r["n"]: r["k"] for r in pieces.groupBy(F.col(length_col).cast("long").alias("n")).agg(F.count("*").alias("k")).collect()}
+    columns = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{length_col}`").cast("long").alias("n"))
+    counts = {r["n"]: r["k"] for r in rows.groupBy("n").agg(F.count("*").alias("k")).collect()}
     if None in counts:
         raise ValueError("a piece has no length")
     table = slots(plan(counts, capacity))
@@ -189,17 +194,14 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 2048, ke
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in (length_col, "_rank"))
+            n, rank = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
             s = table[np.searchsorted(start, n << 40 | rank, side="right") - 1] if b.num_rows else table[:0]
             nth = rank - s[:, 1]
-            extra = [pa.array(s[:, 3] + nth // s[:, 2]), pa.array(s[:, 4] + nth % s[:, 2] * n)]
-            names = [x for x in b.schema.names if x != "_rank"]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(x)) for x in names] + extra, names=[*names, "sequence_id", "offset"])
-
-    ranked = class_ranks(pieces, length_col, counts, by)
-    columns = [c for c in ranked.columns if c != "_rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(columns).schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s[:, 3] + nth // s[:, 2]), pa.array(s[:, 4] + nth % s[:, 2] * n)], names=["row", "sequence_id", "offset"])
+
+    ranked = class_ranks(rows, counts, [F.col(f"row.`{k}`") for k in keys or columns])
+    schema = T.StructType([ranked.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **params) -> DataFrame:

@@ -138,9 +138,8 @@ def test_token_ids_equal_the_tokenizers_file(docs):
     import public_tokenizers as P
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     e = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for text in [r.text for r in docs.collect()] + ["", " ", "a  b", "a\n b\n\n  c", "it's we'll 'S", " x\x85y\x1cz", "<|endoftext|> hi", "日本語 123abc!!", "\r\n\r\nx"]:
+    for text in [r.text for r in docs.collect()] + ["", " ", "a  b", "a\n b\n\n  c", "it's we'll 'S", " x\x85y\x1cz", "<|endoftext|> hi", "a <|endoftext|>\n<|endoftext|><|endoftext|> b <|endoftext|", "<|endo", "日本語 123abc!!", "\r\n\r\nx"]:
         assert t.encode(text, add_special_tokens=False).ids == np.frombuffer(e(text), "<u4").tolist()
 
 
@@ -174,6 +173,14 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(i, 100 + i % 7, 1, 2, None, "x", 3, 4) for i in range(300)], "id long, length int, n int, block int, rank string, row string, OFFSET int, `a.b` int")
+    out = packing.pack(pieces, capacity=1000)
+    assert out.columns == ["id", "length", "n", "block", "rank", "row", "a.b", "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(300)) and whole(rows, 1000) <= -(-sum(r.length for r in rows) // 1000) + 3
+
+
 def test_plan_uses_every_piece_and_fills_exactly():
     rng = random.Random(0)
     for _ in range(20):
