@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.llm.components import components
+from sparrowdex.llm.joins import lookup
 from sparrowdex.storage import materialise, ship
 
 SEED = 42
@@ -56,24 +57,6 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ z >> np.uint64(31)
 
 
-def copy_print(text: str | None, width: int = 5, words_of: int = 4) -> tuple[int, bytes]:
-    """(fingerprint of the set of word pairs, signature): the signature holds words_of further SimHashes of the set of width-word shingles.
-
-    The pairs' fingerprint moves little under edits and serves the search; the signature, in 64 words_of bits, tells how
-    similar the sets of shingles are. Zeros where there is no word; fewer words than a shingle's are one shingle.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, bytes(8 * words_of)
-    digest = xxhash.xxh64_intdigest
-
-    def hashes(n: int) -> np.ndarray:
-        return np.unique(np.fromiter((digest(b" ".join(x), SEED) for x in (zip(*(words[i:] for i in range(n)), strict=False) if len(words) >= n else [words])), "<u8"))
-
-    h = hashes(width)
-    return int(majority(hashes(2))), b"".join(majority(mixed(h, k)).tobytes() for k in range(words_of))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): the fingerprint as a signed long. Null text counts as empty; null ids keep their row."""
     ship(docs.sparkSession)
@@ -182,14 +165,21 @@ def linked(fps: np.ndarray, home: np.ndarray, radius: int, signs: np.ndarray | N
     return root
 
 
-def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 2048, sample: int = 20_000, most_sample: int = 1_000_000, sign_radius: int = 0) -> DataFrame:
-    """nodes (fp, node), distinct fingerprints -> edges (u, v) that connect all fingerprints within radius bits.
+def spread(nodes: list, points: np.ndarray, total: int, mask: np.uint64, r: int, block: int) -> dict[int, int]:
+    """How many blocks each leaf is cut into that the sample says will hold over two blocks of points, home or visiting.
 
-    With a column sign, a binary of whole 64-bit words, a link needs signatures within sign_radius bits besides.
+    Such leaves are left where many fingerprints agree in almost all bits of the part, so that no radius splits them.
+    """
+    held = {at: (len(home) + len(guest)) * total / max(1, len(points)) for at, home, guest in route(nodes, points, mask, r)}
+    return {at: -int(-n // block) for at, n in held.items() if n > 2 * block}
+
+
+def routed(nodes: DataFrame, radius: int, parts: int, leaf: int, sample: int, most_sample: int) -> DataFrame:
+    """(shard, fp, node, home[, sign]): every node in each shard where it is at home or that it must visit.
 
     The trees are shaped by a sample of fingerprints and sent to executors: sample of them, or as many as leaves of about leaf
-    fingerprints need, but no more than most_sample. Every fingerprint is routed and compared. Edges form a star per shard and
-    local component: no more rows than the shards hold.
+    fingerprints need, but no more than most_sample. Every fingerprint is routed and compared. A leaf that no radius splits is cut
+    into blocks of about 2 leaf points by a hash, and every pair of blocks is a shard of its own, so that no task holds the leaf.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -197,19 +187,44 @@ def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 20
     total = nodes.count()
     sample = min(most_sample, max(sample, total * FEWEST // leaf))
     chance = min(1.0, 1.2 * sample / max(1, total))
-    drawn = nodes.select("fp", F.xxhash64("fp").alias("h")).where(F.col("h") <= F.lit(int(-(2**63) + chance * (2**64 - 1)) if chance < 1 else 2**63 - 1)).orderBy("h", "fp").limit(sample)
+    drawn = nodes.select("fp", F.xxhash64("fp", "node").alias("h")).where(F.col("h") <= F.lit(int(-(2**63) + chance * (2**64 - 1)) if chance < 1 else 2**63 - 1)).orderBy("h", "fp").limit(sample)
     points = np.array([x["fp"] for x in drawn.collect()], np.int64).view(np.uint64)
     r, m = radius // parts, masks(parts)
-    trees = spark.sparkContext.broadcast([grow(points, total, x, r, leaf) for x in m])
+    grown = [grow(points, total, x, r, leaf) for x in m]
+    trees = spark.sparkContext.broadcast([(t, spread(t, points, total, x, r, 2 * leaf)) for t, x in zip(grown, m, strict=True)])
+
+    def shards(part: int, at: int, idx: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(shard of each, indexes): points of a leaf that is cut go to the pairs of their block with every block."""
+        first = part << 24 | at
+        if blocks < 2:
+            yield np.full(len(idx), first << 32, np.int64), idx
+            return
+        own = mixed(node[idx].view(np.uint64), 3) % np.uint64(blocks)
+        step = max(1, (1 << 18) // blocks)
+        for k in range(0, len(idx), step):
+            a, b = np.repeat(own[k : k + step].astype(np.int64), blocks), np.tile(np.arange(blocks), len(own[k : k + step]))
+            yield first << 32 | np.minimum(a, b) << 16 | np.maximum(a, b), np.repeat(idx[k : k + step], blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            fp, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for part in range(parts):
-                for at, home, guest in route(trees.value[part], fp.view(np.uint64), m[part], r):
-                    idx = np.concatenate([home, guest])
-                    if len(idx):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), part << 24 | at, np.int64)), pa.array(fp[idx]), node.take(pa.array(idx)), pa.array(np.arange(len(idx)) < len(home)), *(c.take(pa.array(idx)) for c in b.columns[2:])], names=["shard", "fp", "node", "home", "sign"][: 4 + signed])
+                nodes_of, cut = trees.value[part]
+                for at, home, guest in route(nodes_of, fp.view(np.uint64), m[part], r):
+                    for idx, is_home in ((home, True), (guest, False)):
+                        for shard, i in shards(part, at, idx, node, min(cut.get(at, 1), 1 << 16)) if len(idx) else ():
+                            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[i]), pa.array(node[i]), pa.array(np.full(len(i), is_home)), *(c.take(pa.array(i)) for c in b.columns[2:])], names=["shard", "fp", "node", "home", "sign"][: 4 + signed])
+
+    return nodes.select("fp", "node", *["sign"] * signed).mapInArrow(deal, "shard long, fp long, node long, home boolean" + ", sign binary" * signed)
+
+
+def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 2048, sample: int = 20_000, most_sample: int = 1_000_000, sign_radius: int = 0) -> DataFrame:
+    """nodes (fp, node), distinct nodes -> edges (u, v) that connect all nodes whose fingerprints lie within radius bits.
+
+    With a column sign, a binary of whole 64-bit words, a link needs signatures within sign_radius bits besides.
+    Edges form a star per shard and local component: no more rows than the shards hold.
+    """
+    signed = "sign" in nodes.columns
 
     def link(shard: pa.Table) -> pa.Table:
         fp = shard.column("fp").to_numpy().view(np.uint64)
@@ -220,8 +235,14 @@ def near_edges(nodes: DataFrame, radius: int = 4, parts: int = 3, leaf: int = 20
         u, v = node[order], node[order][root]
         return pa.table({"u": u[u != v], "v": v[u != v]})
 
-    dealt = nodes.select("fp", "node", *["sign"] * signed).mapInArrow(deal, "shard long, fp long, node long, home boolean" + ", sign binary" * signed)
-    return dealt.groupBy("shard").applyInArrow(link, "u long, v long")
+    return routed(nodes, radius, parts, leaf, sample, most_sample).groupBy("shard").applyInArrow(link, "u long, v long")
+
+
+def named_by_least(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """nodes (node, id, ...) with label, the number of the group that label (u, v) ties a node to, and component, the smallest id of the group."""
+    tied = materialise(nodes.join(label, nodes.node == label.u, "left").select(*nodes.columns, F.coalesce("v", "node").alias("label")), "tied")
+    least = tied.groupBy("label").agg(F.min("id").alias("component"))
+    return lookup(tied, materialise(least, "least"), "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, **tree) -> DataFrame:
@@ -229,13 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row per input row. Documents without a word share the zero fingerprint. Rows with a null id get the
     component of their fingerprint. Repeated rows and exact copies meet in one fingerprint, which is counted on
-    the map side, so a hot text costs one row per task.
+    the map side, so a hot text costs one row per task; rows of one id with different texts are judged by their texts.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    label = components(near_edges(nodes, radius, **tree))
-    named = nodes.join(label, nodes.node == label.u, "left").select("fp", F.coalesce("v", "node").alias("component"))
-    return fps.join(named, "fp", "left").select("id", "fp", "component")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("id")).select("fp", F.col("fp").alias("node"), "id"), "nodes")
+    label = components(near_edges(nodes.select("fp", "node"), radius, **tree))
+    return lookup(fps, materialise(named_by_least(nodes, label).select("fp", "component"), "named"), "fp").select("id", "fp", "component")
 
 
 def op9(spark, docs: DataFrame) -> DataFrame:
@@ -258,8 +278,12 @@ def same_set(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
 
 
 def search_prints(text: str | None, width: int = 5, searches: int = 4, words_of: int = 4) -> tuple[bytes, list[int], bytes]:
-    """(digest of same_set(), fingerprints, signature): the signature and the first fingerprint are those of copy_print(), the others
-    are SimHashes of the set of word pairs under further independent hashes."""
+    """(digest of same_set(), fingerprints, signature).
+
+    The fingerprints are SimHashes of the set of word pairs under independent hashes: they move little under edits and serve the search. The
+    signature holds words_of SimHashes of the set of width-word shingles, in 64 words_of bits, which tell how similar those sets are.
+    Zeros where there is no word; fewer words than a shingle's are one shingle.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h, pairs = shingle_hashes(words, width), shingle_hashes(words, 2)
     key = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
@@ -291,57 +315,66 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, parts: int = 4, sign_radius: int = 64, searches: int = 4, similarity: float = 0.8, block: int = 256, **tree) -> DataFrame:
-    """(id, component): component is the smallest id reachable over near copies, which share at least similarity of their width-word shingles.
+    """(id, h, label, component): component is the smallest id reachable over near copies, which share at least similarity of their width-word
+    shingles; label is the number of the group, h the xxhash64 of the text.
 
     Candidates come from the trees: a search for each of several independent SimHashes of word pairs, each within radius bits, and
     256 bits of SimHash over shingles within sign_radius (sets of Jaccard similarity 0.8 differ in 39 of those on average, with a
     deviation of 6). Among candidates that hang together, every pair is then judged by the exact Jaccard similarity of its sets of
     shingles. A pair that no search finds and no chain of candidates joins is missed. Groups of over block texts are dealt out by
-    pairs of blocks, so no task holds a large group. Nulls, repeated rows and texts without words are handled as by near_duplicates().
+    pairs of blocks, so no task holds a large group. Nulls, repeated rows, rows of one id with different texts and texts without
+    words are handled as by near_duplicates().
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     fps = [f"fp{k}" for k in range(searches)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, found, signs = zip(*(search_prints(t.as_py(), width, searches) for t in b.column(1)), strict=True) if b.num_rows else ((), (), ())
+            keys, found, signs = zip(*(search_prints(t.as_py(), width, searches) for t in b.column(2)), strict=True) if b.num_rows else ((), (), ())
             found = np.array(found, np.uint64).reshape(-1, searches).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(found[:, k]) for k in range(searches)), pa.array(signs, pa.binary())], names=["id", "key", *fps, "sign"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), *(pa.array(found[:, k]) for k in range(searches)), pa.array(signs, pa.binary())], names=["id", "h", "key", *fps, "sign"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 key, h = same_set(b.column(1)[i].as_py(), width)
                 if key == b.column(2)[i].as_py() and len(h):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([h.tobytes()], pa.binary()), b.column(3).slice(i, 1), b.column(4).slice(i, 1)], names=["node", "key", "shingles", "label", "blocks"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h.tobytes()], pa.binary()), b.column(3).slice(i, 1), b.column(4).slice(i, 1)], names=["node", "shingles", "label", "blocks"])
 
     def judge(group: pa.Table) -> pa.Table:
-        kept = dict(zip(zip(group.column("node").to_pylist(), group.column("key").to_pylist(), strict=True), group.column("shingles").to_pylist(), strict=True))
-        order = sorted(kept)
-        node = np.array([x for x, _ in order], np.int64)
-        root = node[alike([np.frombuffer(kept[x], "<u8") for x in order], similarity)]
+        kept = dict(zip(group.column("node").to_pylist(), group.column("shingles").to_pylist(), strict=True))
+        node = np.array(sorted(kept), np.int64)
+        root = node[alike([np.frombuffer(kept[x], "<u8") for x in node.tolist()], similarity)]
         return pa.table({"u": node[node != root], "v": root[node != root]})
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    prints = materialise(text.mapInArrow(run, "id long, key binary" + "".join(f", {x} long" for x in fps) + ", sign binary"), "prints")
-    nodes = materialise(prints.where("id is not null").groupBy("key", *fps, "sign").agg(F.min("id").alias("node")), "nodes")
+    prints = materialise(text.select("id", F.xxhash64("t").alias("h"), "t").mapInArrow(run, "id long, h long, key binary" + "".join(f", {x} long" for x in fps) + ", sign binary"), "prints")
+    # Each distinct set of shingles is a node, numbered once and for all by being stored.
+    nodes = materialise(prints.groupBy("key", *fps, "sign").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One search after another, so that only one holds memory.
     found = [materialise(near_edges(nodes.select(F.col(x).alias("fp"), "node", "sign"), radius, parts, sign_radius=sign_radius, **tree), "candidates") for x in fps]
     tied = components(reduce(DataFrame.unionByName, found))
     tied = tied.unionByName(tied.select(F.col("v").alias("u"), "v")).distinct()
     sizes = tied.groupBy("v").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = nodes.select("node", "key").join(tied.join(sizes, "v"), F.col("node") == F.col("u")).select("node", "key", F.col("v").alias("label"), "blocks")
-    held = text.join(asked, F.col("id") == F.col("node")).select("node", "t", "key", "label", "blocks").mapInArrow(sets, "node long, key binary, shingles binary, label long, blocks int")
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    asked = nodes.where("id is not null").select("node", "id", "key").join(tied.join(sizes, "v"), F.col("node") == F.col("u")).select("node", "id", "key", F.col("v").alias("label"), "blocks")
+    held = text.join(asked, "id").select("node", "t", "key", "label", "blocks").mapInArrow(sets, "node long, shingles binary, label long, blocks int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
     label = components(dealt.groupBy("label", "i", "j").applyInArrow(judge, "u long, v long"))
-    named = nodes.join(label, nodes.node == label.u, "left").select("key", F.coalesce("v", "node").alias("component"))
-    return prints.join(named, "key", "left").select("id", "component")
+    named = materialise(named_by_least(nodes.select("node", "id", "key"), label).select("key", "label", "component"), "named")
+    return lookup(prints.select("id", "h", "key"), named, "key").select("id", "h", "label", "component")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest id (of rows that repeat that id, one). Rows with a null id stay."""
+    """docs with one row of each group of near copies: that of the smallest id. Rows with a null id stay.
+
+    Of rows that repeat that id in one group, the one of the smallest hash of its text stays; different texts under one id that are
+    no near copies of each other are different groups' rows.
+    """
     labels = near_copies(docs, id_col, text_col, **params)
-    keep = labels.where("id = component").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    # Groups go by their number: two may have the same smallest id, under different texts.
+    first = labels.where("id = component").groupBy("label").agg(F.min(F.struct("id", "h")).alias("first")).select("first.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
+    kept = rows.where("id is not null").join(first, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return kept.select("row.*").unionByName(rows.where("id is null").select("row.*"))

@@ -2,7 +2,9 @@
 
 import random
 
-from sparrowdex.llm import simhash
+import numpy as np
+
+from sparrowdex.llm import components, simhash
 
 
 def jaccard(a, b):
@@ -35,3 +37,47 @@ def test_large_groups_are_judged_in_blocks(spark):
     rows = [(k, edited(words, {10 + k})) for k in range(90)] + [(200, "another text of some words that is alone")]
     got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
     assert got == dict.fromkeys(range(90), 0) | {200: 200}
+
+
+def test_rows_of_one_id_and_any_column_names(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, near, other = " ".join(words), edited(words, {7}), " ".join(reversed(words))
+    rows = [(1, one, "a"), (1, other, "b"), (1, near, "c"), (2, near, "d"), (3, other, "e"), (4, one, "f"), (4, one, "f"), (None, one, "g"), (None, None, "h"), (9, None, "i")]
+    docs = spark.createDataFrame([(*r, "x", 5, 6, None) for r in rows], "doc_id long, text string, _keep string, h string, label int, id int, row string")
+    out = simhash.one_per_group(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert [k for k in kept if k[0] == 1] in ([(1, one), (1, other)], [(1, other), (1, one)], sorted([(1, near), (1, other)]))
+    assert [k for k in kept if k[0] != 1] == [(0, ""), (0, one), (9, "")]
+    assert simhash.one_per_group(docs.limit(0)).count() == 0
+
+
+def test_a_leaf_that_no_radius_splits_is_cut(spark):
+    rng = np.random.default_rng(12)
+    centre = int(rng.integers(0, 1 << 62))
+    fps = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(6000)}
+    fps |= {int(x) for x in rng.integers(0, 1 << 62, 1000)} | {x ^ 1 for x in list(fps)[:200]} | {centre ^ (0b11111 << int(k)) for k in range(0, 55, 3)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    nodes = spark.createDataFrame([(x, k) for k, x in enumerate(fps)], "fp long, node long")
+    sizes = simhash.routed(nodes, 4, 3, 64, 2000, 2000).groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 8 * 64 < len(fps) // 4
+    got = {r.u: r.v for r in components.components(simhash.near_edges(nodes, 4, leaf=64, sample=2000, most_sample=2000)).collect()}
+    bits, root = np.array(fps, np.int64).view(np.uint64), list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(bits[:k] ^ bits[k]) <= 4):
+            a, b = sorted((find(k), find(int(j))))
+            root[b] = a
+    assert [got.get(k, k) for k in range(len(fps))] == [find(k) for k in range(len(fps))]
+
+
+def test_components_with_a_hot_node(spark):
+    edges = [(0, i) for i in range(1, 6000)] + [(9000, i) for i in range(6000, 9000)] + [(9000, 9001), (5, 9000), (10_000, 10_001)] + [(20_000 + i, 20_001 + i) for i in range(8000)]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(1, 9002), 0) | {10_001: 10_000} | dict.fromkeys(range(20_001, 28_001), 20_000)

@@ -1,8 +1,7 @@
 """The pipeline's stages against what its operators say of the same documents."""
 
 import collections
-
-import numpy as np
+import re
 
 import corpus_pipeline
 from sparrowdex.llm import decontaminate, quality_rules, simhash
@@ -10,11 +9,15 @@ from sparrowdex.llm import decontaminate, quality_rules, simhash
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def representatives(texts):
-    """The smallest id of each component of near copies, by all pairs."""
+    """The smallest id of each component of near copies: every pair whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     ids = sorted(texts)
-    prints = [simhash.copy_print(texts[i]) for i in ids]
-    fp, sign = np.array([p for p, _ in prints], np.uint64), np.array([np.frombuffer(s, "<u8") for _, s in prints])
+    sets = [shingles(texts[i]) for i in ids]
     root = list(range(len(ids)))
 
     def find(x):
@@ -22,10 +25,12 @@ def representatives(texts):
             x = root[x]
         return x
 
-    near = (np.bitwise_count(fp[:, None] ^ fp) <= 7) & (np.bitwise_count(sign[:, None] ^ sign).sum(axis=2, dtype=int) <= 48)
-    for x, y in zip(*np.nonzero(near), strict=True):
-        a, b = sorted((find(x), find(y)))
-        root[b] = a
+    for x in range(len(ids)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if sets[x] == sets[y] or both and both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
     return {ids[find(x)] for x in range(len(ids))}
 
 
