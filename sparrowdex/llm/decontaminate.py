@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def align(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int
         if b > a:
             text[j, a - d : b - d] = t[a:b]
         passage[j, : len(p)] = p
-    far, col = 1 << 20, np.arange(wide)
+    far, col = 1 << 30, np.arange(wide)
     # Cell (i, c): i passage characters against the text up to first + c + i.
     ends = first[:, None] + col
     cost = np.where((ends >= 0) & (ends <= size[:, None]) & (col < width[:, None]), 0, far).astype(np.int64)
@@ -176,10 +177,10 @@ def align(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int
         begin = np.where(up, np.concatenate([begin[:, 1:], begin[:, -1:]], axis=1), begin)
         ends = first[:, None] + col + i + 1
         cost = np.where((ends >= 0) & (ends <= size[:, None]) & (col < width[:, None]), cost, far)
-        slide = (cost - col) * (1 << 20) + col
+        slide = (cost - col) * (1 << 31) + col
         low = np.minimum.accumulate(slide, axis=1)
-        source = low & ((1 << 20) - 1)
-        cost = np.minimum(cost, (low >> 20) + col)
+        source = low & ((1 << 31) - 1)
+        cost = np.minimum(cost, (low >> 31) + col)
         begin = np.take_along_axis(begin, np.where(cost < far, source, col), axis=1)
         for j in np.flatnonzero(length == i + 1):
             c = int(cost[j].argmin())
@@ -216,27 +217,30 @@ def matches(texts: list[str], passages: Passages, at_once: int = 512) -> list[li
     return [[(passages.ids[o], b, e, d) for o, (d, b, e) in sorted(x.items())] for x in best]
 
 
+def blocks_of(benchmark: DataFrame, item_col: str, passage_col: str, q: int, error: float, block_chars: int) -> Iterator[Broadcast]:
+    """The benchmark's passages, sent to executors in blocks of at most block_chars characters (a longer passage is a block of its own)."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(passage_col).alias("t")).where("t is not null and i is not null")
+    sized = items.select("i", F.length("t").alias("n"), F.xxhash64("t").alias("h")).distinct()
+    blocks = -(-(sized.agg(F.sum("n").alias("s")).first()["s"] or 0) // block_chars) or 1
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).distinct()
+        yield spark.sparkContext.broadcast(Passages([(r["i"], r["t"]) for r in block.collect()], q, error))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", q: int = 8, error: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, edits): each benchmark passage that a document holds, start and end in code points of its text.
 
     An edit is a character put in, left out or changed, after folding case and white space; the budget is error
     of the passage's length, less where a passage is too short for its q-grams to tell. Passages shorter than q, null
-    texts and null passages match nothing. The benchmark is a stated query set: it is sent to executors in blocks of at most
-    block_chars characters (a longer passage is a block of its own), each block against all rows, so there is no shuffle and
-    no hot key. Repeated rows each report their matches.
+    texts and null passages match nothing. The benchmark is a stated query set: each of its blocks is held against all rows in
+    a pass of its own, so a task holds one block; there is no shuffle and no hot key. Repeated rows each report their matches.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(passage_col).alias("t")).where("t is not null and i is not null")
-    sized = items.select("i", F.length("t").alias("n"), F.xxhash64("t").alias("h")).distinct()
-    total = sized.agg(F.sum("n").alias("s")).first()["s"] or 0
-    blocks = -(-total // block_chars) or 1
     out = None
     key = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).distinct()
-        passages = spark.sparkContext.broadcast(Passages([(r["i"], r["t"]) for r in block.collect()], q, error))
+    for passages in blocks_of(benchmark, item_col, passage_col, q, error, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
             p = passages.value
@@ -250,12 +254,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without those that hold a benchmark passage. Rows are judged by their own text; a null id is kept with its verdict."""
-    marked = docs.withColumn("_row", F.struct(F.col(id_col), F.xxhash64(F.col(text_col)).alias("h")))
-    leaks = contaminated(marked, benchmark, "_row", text_col, **params).select(F.col("doc_id.*")).distinct()
-    h = F.xxhash64(F.col(text_col))
-    return docs.join(leaks.select(F.col(id_col).alias("_id"), F.col("h").alias("_h")), F.col(id_col).eqNullSafe(F.col("_id")) & (h == F.col("_h")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", q: int = 8, error: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """docs without those that hold a benchmark passage, as contaminated() finds them. Every row is judged by its own text where it is, whatever its
+    id and its other columns; null texts stay. There is no shuffle."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    for passages in blocks_of(benchmark, item_col, passage_col, q, error, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+            p = passages.value
+            for b in batches:
+                held = matches([t or "" for t in b.column(0).field(at).cast(pa.string()).to_pylist()], p)
+                yield b.filter(pa.array([not h for h in held], pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")
 
 
 def op2(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
