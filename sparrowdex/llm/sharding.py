@@ -29,7 +29,7 @@ def _ranks(rows: DataFrame, key: list[str], order: list[Column], place: Column,
 
 
 def interleave(docs: DataFrame, shards: int = 8, stratum_col: str = "source", id_col: str = "doc_id", seed: int = 42, block: int = 20_000) -> DataFrame:
-    """docs with shard (from 0) and slot (its place there, gapless from 0).
+    """docs with shard (from 0) and slot (its place there, gapless from 0); columns of docs with these names give way.
 
     Rows of a stratum are shuffled by a seeded hash and ranked; rank r of n has the fractional rank (r + 1/2) / n, by
     which all rows are sorted, and the order is cut into shards whose row counts differ by at most one. So each run of
@@ -38,10 +38,10 @@ def interleave(docs: DataFrame, shards: int = 8, stratum_col: str = "source", id
     carried along, and the rows are read twice: give only what is needed.
     """
     spark = docs.sparkSession
-    columns = docs.columns
-    s = F.col("_in." + stratum_col) if stratum_col in columns else F.lit(None)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_in")) if columns else docs
-    rows = rows.select("_in", s.cast("string").alias("_s"), F.xxhash64(F.lit(seed), F.col("_in." + id_col)).alias("_h"), F.xxhash64(F.col("_in")).alias("_tie"))
+    columns = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    s = F.col(f"_in.`{stratum_col}`") if stratum_col in columns else F.lit(None)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_in"))
+    rows = rows.select("_in", s.cast("string").alias("_s"), F.xxhash64(F.lit(seed), F.col(f"_in.`{id_col}`")).alias("_h"), F.xxhash64(F.col("_in")).alias("_tie"))
     sizes = materialise(rows.groupBy("_s").agg(F.count("*").alias("_n")), "strata")
     total = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
     least = 4 * partitions(spark)
@@ -49,7 +49,7 @@ def interleave(docs: DataFrame, shards: int = 8, stratum_col: str = "source", id
     sized = sizes.select(F.col("_s").alias("_sn"), "_n", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(blocks) / F.lit(max(1, total)))).alias("_blocks"))
     known = rows.join(sized, F.col("_s").eqNullSafe(F.col("_sn"))).drop("_sn")
     unit = (F.shiftrightunsigned("_h", 11)).cast("double") * F.lit(2.0**-53)
-    order = [F.col("_h"), F.col("_in." + id_col), F.col("_tie")]
+    order = [F.col("_h"), F.col(f"_in.`{id_col}`"), F.col("_tie")]
     shuffled = _ranks(known, ["_s"], [unit, *order], unit, F.col("_blocks"), "_r")
     fraction = (F.col("_r") + 0.5) / F.col("_n")
     placed = _ranks(shuffled.withColumn("_f", fraction), [], [F.col("_f"), F.col("_s"), *order], F.col("_f"), F.lit(blocks), "_p")
