@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparrowdex.storage import ship
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select".split())
@@ -47,15 +47,9 @@ class Node:
         self.named = False
 
 
-def is_aside(tag: str, attributes: str, within: Node) -> bool:
-    if tag in ASIDE or tag in RAW:
+def is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in ASIDE or tag in RAW or tag == "header" and not in_article:  # the header of an article belongs to it
         return True
-    inside = within
-    if tag == "header":  # the header of an article belongs to it
-        while inside is not None and inside.tag not in ("article", "main", "section"):
-            inside = inside.parent
-        if inside is None:
-            return True
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -91,64 +85,67 @@ def judge_named(root: Node) -> None:
 
 
 def tree(page: str) -> Node:
-    """The DOM as browsers repair it, near enough: void elements, implied ends, raw text, stray end tags; iterative, so depth is free."""
+    """The DOM as browsers repair it, near enough: void elements, implied ends, raw text, stray end tags.
+
+    Where the open elements of each tag stand is kept, so an end tag without its element costs nothing, and the whole is linear
+    in the page however deep or broken it is.
+    """
     root = Node("#root", None)
-    at, here, n = 0, root, len(page)
+    at, n, path = 0, len(page), [root]
+    places: dict[str, list[int]] = {"#block": []}
+
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def open_(node: Node) -> None:
+        for t in (node.tag, "#block") if node.tag in BLOCK else (node.tag,):
+            places.setdefault(t, []).append(len(path))
+        path.append(node)
 
-    def close(tags: set[str] | frozenset[str], borders: set[str] | frozenset[str]) -> None:
-        nonlocal here
-        x = here
-        while x.parent is not None and x.tag not in borders:
-            if x.tag in tags:
-                here = x.parent
-                return
-            x = x.parent
+    def close(k: int) -> None:
+        """End the open elements from place k on."""
+        while len(path) > k:
+            x = path.pop()
+            places[x.tag].pop()
+            if x.tag in BLOCK:
+                places["#block"].pop()
 
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            here.items.append(entities.unescape(page[at:]))
+            path[-1].items.append(entities.unescape(page[at:]))
             break
         if m.start() > at:
-            here.items.append(entities.unescape(page[at : m.start()]))
+            path[-1].items.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                here.items.append(m[0][9:].removesuffix("]]>"))
+                path[-1].items.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            x = here
-            while x.parent is not None and x.tag != tag:
-                x = x.parent
+            k = last({tag})
             # An inline end tag does not end a block.
-            if x.parent is not None and (tag in BLOCK or not any(y in BLOCK for y in between(here, x))):
-                here = x.parent
+            if k and (tag in BLOCK or last({"#block"}) < k):
+                close(k)
             continue
-        if tag in P_ENDS:
-            close({"p"}, BORDERS)
-        if tag in SIBLINGS:
-            close(*SIBLINGS[tag])
-        node = Node(tag, here, is_aside(tag, m[3], here))
+        for tags, borders in ([({"p"}, BORDERS)] if tag in P_ENDS else []) + ([SIBLINGS[tag]] if tag in SIBLINGS else []):
+            if (k := last(tags)) > last(borders):
+                close(k)
+        node = Node(tag, path[-1], is_aside(tag, m[3], last({"article", "main", "section"}) > 0))
         node.named = not node.aside and is_named(tag, m[3])
-        here.items.append(node)
+        path[-1].items.append(node)
         if tag in VERBATIM:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else n
             if end:
                 at = page.find(">", at) + 1 or n
         elif tag not in VOID and not (m[3].endswith("/") and tag in RAW):
-            here = node
+            open_(node)
     judge_named(root)
     return root
 
 
-def between(a: Node, b: Node) -> Iterator[str]:
-    while a is not b:
-        yield a.tag
-        a = a.parent
-
-
 def measure(root: Node) -> list[Node]:
     """Counts, densities and their sums, children first; asides count as nothing."""
     order, stack = [], [(root, False)]
@@ -254,7 +251,11 @@ def extract(page: str | None) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars): the article of each page, whole; empty for null or empty html and for pages without text. One row per row, no shuffle."""
+    """(page_id, url, text, n_chars): the article of each page, whole; empty for null or empty html and for pages without text.
+
+    One row per row, repeated rows too, and no shuffle; other columns of pages are left out, whatever their names. White space is what Unicode
+    takes for it, so no-break spaces and the separators U+001C to U+001F become one blank as well.
+    """
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
