@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex.llm.joins import lookup
 from sparrowdex.storage import materialise
 
 #: (verdict, rule): a host with all its subdomains, and a beginning of the path.
@@ -38,8 +39,9 @@ def rule_of(h: Column, p: Column, rules: list[tuple[str, str]]) -> tuple[Column,
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, n): links between different hosts, counted. Links without a host stay on their host and give no edge."""
-    links = pages.select(host(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1)), lambda x: x.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")))).alias("href"))
+    """(src, dst, n): links between different hosts, counted. A page that repeats a link counts once for it. Links without a host stay on their host and
+    give no edge."""
+    links = pages.select(host(F.col(f"`{url_col}`")).alias("src"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), F.lit(LINK), F.lit(1)), lambda x: x.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")))).alias("href"))
     to = links.select("src", host(F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))).alias("dst"))
     return to.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -78,23 +80,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return every.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
 
+RESULT = ("_host", "_path", "_rule", "_verdict", "_trust", "_distrust")
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url", html_col: str = "html", margin: float = 0.0, **params) -> DataFrame:
-    """pages' columns (but html) with _host, _path, _rule, _verdict, _trust and _distrust.
+    """pages' columns (but html) with _host, _path, _rule, _verdict, _trust and _distrust; columns of pages with these names give way.
 
     Where no rule fits, a host is blocked if its distrust is over its trust by more than margin. A host's seed weights are
     the shares of its pages with a rule that are allowed and blocked, so every rule seeds the hosts it speaks of. Hosts that neither a rule nor a link
-    reaches, and urls without a host, are allowed.
+    reaches, and urls without a host, are allowed. Repeated pages are judged alike and their links count repeatedly. Pages of a host with very many
+    stay where they are when they get its score.
     """
-    kept = [c for c in pages.columns if c != html_col]
-    h, p = host(F.col(url_col)), path(F.col(url_col))
-    split = pages.select(*kept, h.alias("_host"), p.alias("_path"))
-    rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    ruled = split.withColumn("_rule", rule).withColumn("_ruled", verdict)
-    seeds = ruled.where("_ruled is not null and _host <> ''").groupBy(F.col("_host").alias("host")).agg(F.avg((F.col("_ruled") == "allow").cast("double")).alias("trust"), F.avg((F.col("_ruled") == "block").cast("double")).alias("distrust"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds, **params).select(F.col("host").alias("_h"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
-    scored = ruled.join(scores, F.col("_host") == F.col("_h"), "left").drop("_h").fillna(0.0, ["_trust", "_distrust"])
-    method = F.when(F.col("_distrust") - F.col("_trust") > margin, "block").otherwise("allow")
-    return scored.withColumn("_verdict", F.coalesce("_ruled", method)).drop("_ruled")
+    columns = [c for c in pages.columns if c != html_col and c.lower() not in RESULT]
+    h, p = host(F.col(f"`{url_col}`")), path(F.col(f"`{url_col}`"))
+    split = pages.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), h.alias("host"), p.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    ruled = split.withColumn("rule", rule).withColumn("ruled", verdict)
+    seeds = ruled.where("ruled is not null and host <> ''").groupBy("host").agg(F.avg((F.col("ruled") == "allow").cast("double")).alias("trust"), F.avg((F.col("ruled") == "block").cast("double")).alias("distrust"))
+    scores = materialise(propagate(host_edges(pages, url_col, html_col), seeds, **params), "scores")
+    scored = lookup(ruled, scores, "host").fillna(0.0, ["trust", "distrust"])
+    method = F.when(F.col("distrust") - F.col("trust") > margin, "block").otherwise("allow")
+    return scored.select("row.*", *(F.col(c).alias("_" + c) for c in ("host", "path", "rule")), F.coalesce("ruled", method).alias("_verdict"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
 
 
 def op7(spark, pages: DataFrame) -> DataFrame:
