@@ -8,7 +8,7 @@ backslash less; a text is written plainly if the parser returns it so, and with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -33,11 +33,6 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.replace(F.replace(p, F.lit("\\p"), F.lit("")), F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def render(turns: Column, written: Column) -> Column:
-    """The conversation of array<struct<role, text>> turns, with texts as written (array<string>)."""
-    return F.array_join(F.transform(turns, lambda t, i: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), F.get(written, i), F.lit(END + "\n"))), "")
-
-
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> of a rendered conversation: turns lie between control strings, a role ends at the first line feed.
 
@@ -50,41 +45,43 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, lambda x: F.struct(unescape_role(head(x)).alias("role"), F.when(x.rlike(whole) & ~body(x).contains(END), unescape(body(x))).alias("text")))
 
 
+def turn_of(role: Column, text: Column) -> Column:
+    """A turn with its text as given."""
+    return F.concat(F.lit(START), escape_role(role), F.lit("\n"), text, F.lit(END + "\n"))
+
+
 def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
-    """(conv_id, turns, formatted, loss_spans): one row per conversation.
+    """(conv_id, turns, formatted, loss_spans): one row per conversation; other columns of rows are left out, whatever their names.
 
-    turns: array<struct<role, text>> in turn order (equal turns by role and text); formatted: the template's text, which parse()
-    turns back into exactly these turns; loss_spans: array<struct<first, length>>, 1-based places in formatted of the trained role's texts as
-    written, markers left out. Null roles and texts count as empty, null turns come first, rows without conv_id form one conversation.
+    turns: array<struct<role, text>> in turn order (equal turns by role and text, repeated rows are repeated turns); formatted: the template's text,
+    which parse() turns back into exactly these turns; loss_spans: array<struct<turn, within, first, length>> of the trained role's texts as written,
+    markers left out: the turn's number from 0, the 1-based place in what follows the turn's START, and that in formatted.
+    Null roles and texts count as empty, null turns come first, rows without conv_id form one conversation, empty tables give none.
     Each text is first written plainly; if parsing it back does not give it, it is escaped, and the whole is compared
-    again. A conversation is one row, so its turns meet in one task; turns of different conversations never do.
+    again. Places are running sums over a conversation's turns, so the work is linear in them. A conversation is one row, so its turns
+    meet in one task; turns of different conversations never do.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    groups = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    source = groups.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-
-    def alone(t: Column) -> Column:
-        """Whether the parser gives back this text from a conversation of one plainly written turn."""
-        one = F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), t["text"], F.lit(END + "\n"))
-        back = parse(one)
-        return (F.size(back) == 1) & (F.get(back, F.lit(0)) == t)
-
-    tried = source.withColumn("written", F.transform("turns", lambda t: F.when(~t["text"].contains("<") | alone(t), t["text"]).otherwise(escape(t["text"]))))
-    first = tried.withColumn("formatted", render(F.col("turns"), F.col("written")))
+    source = rows.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    back = parse(turn_of(F.col("role"), F.col("text")))
+    alone = ~F.col("text").contains("<") | (F.size(back) == 1) & (F.get(back, F.lit(0)) == F.struct("role", "text"))
+    tried = source.withColumn("plain", alone)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    written = tried.withColumn("escaped", escape(F.col("text"))).withColumn("written", F.when(F.col("plain"), F.col("text")).otherwise(F.col("escaped")))
+    head = F.length(escape_role(F.col("role"))).cast("long") + 1
+    size = lambda body: F.lit(len(START) + len(END) + 1) + head + F.length(body)
+    place = lambda body: F.coalesce(F.sum(size(body)).over(before), F.lit(0)) + len(START) + head + 1
+    placed = written.select("conv_id", F.struct("turn", "role", "text", "written", "escaped", (head + 1).alias("within"), place(F.col("written")).alias("first"), place(F.col("escaped")).alias("first_escaped")).alias("t"))
+    groups = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    def spans(body: str, first: str) -> Column:
+        every = F.transform("ts", lambda t, i: F.struct(i.alias("turn"), t["within"].alias("within"), t[first].alias("first"), F.length(t[body]).cast("long").alias("length"), t["role"].alias("role")))
+        return F.transform(F.filter(every, lambda s: s["role"] == trained), lambda s: s.dropFields("role"))
+
+    whole = lambda body: F.array_join(F.transform("ts", lambda t: turn_of(t["role"], t[body])), "")
+    first = groups.select("conv_id", "ts", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), whole("written").alias("formatted"))
     # A conversation that still differs as a whole is escaped throughout.
-    same = parse(F.col("formatted")) == F.col("turns")
-    checked = first.withColumn("written", F.when(same, F.col("written")).otherwise(F.transform("turns", lambda t: escape(t["text"]))))
-    done = checked.withColumn("formatted", render(F.col("turns"), F.col("written")))
-    zero = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<role:string,first:bigint,length:bigint>>").alias("out"))
-    sized = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.length(escape_role(t["role"])).cast("long").alias("head"), F.length(F.get(F.col("written"), i)).cast("long").alias("body")))
-    begin = lambda a, t: a["at"] + len(START) + t["head"] + 1
-    spans = F.aggregate(
-        sized,
-        zero,
-        lambda a, t: F.struct((begin(a, t) + t["body"] + len(END) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(t["role"].alias("role"), begin(a, t).alias("first"), t["body"].alias("length")))).alias("out")),
-        lambda a: F.transform(F.filter(a["out"], lambda x: x["role"] == trained), lambda x: F.struct(x["first"].alias("first"), x["length"].alias("length"))),
-    )
-    return done.select("conv_id", "turns", "formatted", spans.alias("loss_spans"))
+    checked = first.withColumn("same", parse(F.col("formatted")) == F.col("turns"))
+    return checked.select("conv_id", "turns", F.when(F.col("same"), F.col("formatted")).otherwise(whole("escaped")).alias("formatted"), F.when(F.col("same"), spans("written", "first")).otherwise(spans("escaped", "first_escaped")).alias("loss_spans"))
 
 
 #: A conversation that is all conflict.
@@ -95,11 +92,12 @@ def op8(spark, conversations: DataFrame) -> DataFrame:
     hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(hard)
     out = format_turns(rows).select("conv_id", "formatted", "loss_spans")
-    read = out.withColumn("back", parse(F.col("formatted")))
-    masked = read.withColumn("loss", F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["first"].cast("int"), s["length"].cast("int")))), ""))
+    # What follows each START, once per conversation: a span is then read from its own turn and not from the conversation's beginning.
+    read = out.withColumn("pieces", F.split("formatted", "<\\|im_start\\|>")).withColumn("back", parse(F.col("formatted")))
+    masked = read.withColumn("loss", F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.get(F.col("pieces"), s["turn"] + 1), s["within"].cast("int"), s["length"].cast("int")))), ""))
     return masked.select(
         "conv_id",
-        F.size("back").cast("long").alias("n_turns"),
+        (F.size("pieces") - 1).cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
