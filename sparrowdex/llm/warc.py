@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdex.storage import shared_path, ship
+from sparrowdex.llm.joins import lookup
+from sparrowdex.storage import drop_path, materialise, shared_path, ship
 
 END = "\r\n\r\n"
 BEND = END.encode()
@@ -92,8 +93,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("page").alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
-    plan = rows.join(firsts, F.col("digest") == F.col("_d"), "left").select(F.monotonically_increasing_id().cast("string").alias("serial"), "page", "url", "html", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("first"))
+    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("page").alias("n")).where("n > 1").select("digest", "first")
+    plan = lookup(rows, firsts, "digest").select(F.monotonically_increasing_id().cast("string").alias("serial"), "page", "url", "html", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,23 +148,27 @@ def unquoted(url: str | None) -> str | None:
     return None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
 
 
-def read_records(spark, path: str, segmented: bool | None = None) -> DataFrame:
-    """Records as stored, segments apart (RAW); segmented: only those that are, or are not, segments of a longer record.
+def fields(h: dict[str, str]) -> dict:
+    """A record's own fields, from its headers."""
+    number = lambda k: int(h[k]) if k in h else None
+    return {"record_id": h["WARC-Record-ID"], "type": h["WARC-Type"], "origin": h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), "segment": number("WARC-Segment-Number"), "total": number("WARC-Segment-Total-Length"), "page_id": number("Page-ID"), "url": unquoted(h.get("WARC-Target-URI")), "refers_to": number("Refers-To-Page-ID"), "digest": h.get("WARC-Payload-Digest", "").removeprefix("sha256:")}
+
+
+def read_records(spark, path: str) -> DataFrame:
+    """Records as stored, segments apart (RAW).
 
     A gzip file is read by one task as a stream of pieces, of which a record's are held at a time.
     """
     ship(spark)
     kinds = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
-    number = lambda h, k: int(h[k]) if k in h else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         size = 0
         for h, block in split_records(v.as_py().encode() for b in batches for v in b.column(0)):
-            if segmented is not None and segmented != ("WARC-Segment-Number" in h) or h["WARC-Type"] not in ("response", "revisit", "continuation"):
-                continue
-            rows.append({"record_id": h["WARC-Record-ID"], "type": h["WARC-Type"], "origin": h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), "segment": number(h, "WARC-Segment-Number"), "total": number(h, "WARC-Segment-Total-Length"), "page_id": number(h, "Page-ID"), "url": unquoted(h.get("WARC-Target-URI")), "refers_to": number(h, "Refers-To-Page-ID"), "digest": h.get("WARC-Payload-Digest", "").removeprefix("sha256:"), "block": block})
-            size += len(block)
+            if h["WARC-Type"] in ("response", "revisit", "continuation"):
+                rows.append(fields(h) | {"block": block})
+                size += len(block)
             if size > 1 << 23:
                 yield pa.RecordBatch.from_pylist(rows, kinds)
                 rows, size = [], 0
@@ -172,49 +177,78 @@ def read_records(spark, path: str, segmented: bool | None = None) -> DataFrame:
     return spark.read.option("lineSep", END).text(path).mapInArrow(run, RAW)
 
 
+def decoded(kind: str, page: int | None, url: str | None, refers: int | None, digest: str, block: bytes) -> tuple:
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a whole block; an error if the payload is not the one of the digest."""
+    if kind == "revisit":
+        return page, url, kind, refers, None, digest, None
+    head, _, body = block.partition(BEND)
+    payload = dechunked(body) if b"\r\nTransfer-Encoding: chunked" in head else body
+    if hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"page {page}: the payload does not have its digest")
+    return page, url, kind, None, len(payload), digest, payload.decode()
+
+
+OWN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
+PART = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+
+
 def reassembled(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]): one row per page.
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]): one row per page, of stored tables; the archive is read once.
 
     Segments are grouped by the id of their first record and ordered by number; numbers from 1 without a gap and the stated
     total length are verified, then the chunked framing is taken off and the digest compared to the one stored. Damage is an error.
     Revisits have no payload of their own: payload is null, and size and digest are those of the response that they refer to.
     Records that are not segmented are decoded where they are read; only segments are shuffled.
     """
-    whole = read_records(spark, path, False).select("type", "page_id", "url", "refers_to", "digest", "block")
-    parts = read_records(spark, path, True).groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block", "type", "page_id", "url", "digest"))).alias("s"), F.max("total").alias("total"))
-    first = F.get("s", F.lit(0))
-    sound = (F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))) & (F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"])) == F.col("total"))
-    joined = parts.select(first["type"].alias("type"), first["page_id"].alias("page_id"), first["url"].alias("url"), F.lit(None).cast("long").alias("refers_to"), first["digest"].alias("digest"), F.when(F.coalesce(sound, F.lit(False)), F.expr("unhex(array_join(transform(s, x -> hex(x.block)), ''))")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), "origin"))).alias("block"))
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
+    ship(spark)
+    own = pa.schema([f for f in OWN if with_payload or f.name != "payload"])
+    both = pa.schema([*own, *PART])
+    columns = lambda schema: ", ".join(f"{f.name} {dict(int64='long', int32='int').get(str(f.type), str(f.type))}" for f in schema)
+    names = own.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        size = 0
+        for h, block in split_records(v.as_py().encode() for b in batches for v in b.column(0)):
+            if h["WARC-Type"] not in ("response", "revisit", "continuation"):
+                continue
+            r = fields(h)
+            if r["segment"] is None:
+                rows.append(dict(zip(OWN.names, decoded(r["type"], r["page_id"], r["url"], r["refers_to"], r["digest"], block), strict=True)))
+            else:
+                rows.append({"page_id": r["page_id"], "url": r["url"], "record_type": r["type"], "payload_digest": r["digest"], "origin": r["origin"], "segment": r["segment"], "total": r["total"], "block": block})
+            size += len(block)
+            if size > 1 << 23:
+                yield pa.RecordBatch.from_pylist([{k: x.get(k) for k in both.names} for x in rows], both)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist([{k: x.get(k) for k in both.names} for x in rows], both)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for row in zip(*b.columns, strict=True):
-                kind, page, url, refers, digest, block = (x.as_py() for x in row)
-                head, _, body = block.partition(BEND)
-                if kind == "revisit":
-                    rows.append((page, url, kind, refers, None, digest, None)[: len(names)])
-                    continue
-                payload = dechunked(body) if b"\r\nTransfer-Encoding: chunked" in head else body
-                if hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"page {page}: the payload does not have its digest")
-                rows.append((page, url, kind, None, len(payload), digest, payload.decode())[: len(names)])
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * len(names), types, strict=False)], names=names)
-
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload string" * with_payload
-    own = whole.unionByName(joined).mapInArrow(decode, schema)
-    at = own.where("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n")).distinct()
-    resolved = own.join(at, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
-    return resolved.select(*(F.coalesce("payload_bytes", "_n").alias("payload_bytes") if n == "payload_bytes" else F.col(n) for n in names))
+            for page, url, kind, digest, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = dict(zip(OWN.names, decoded(kind, page, url, None, digest, block), strict=True))
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in names}], own)
+
+    records = materialise(spark.read.option("lineSep", END).text(path).mapInArrow(read, columns(both)), "records")
+    parts = records.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block", "record_type", "page_id", "url", "payload_digest"))).alias("s"), F.max("total").alias("total"))
+    first = F.get("s", F.lit(0))
+    sound = (F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))) & (F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"])) == F.col("total"))
+    joined = parts.select(*(first[c].alias(c) for c in ("page_id", "url", "record_type", "payload_digest")), F.when(F.coalesce(sound, F.lit(False)), F.expr("unhex(array_join(transform(s, x -> hex(x.block)), ''))")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), "origin"))).alias("block"))
+    put = materialise(joined.mapInArrow(decode, columns(own)), "reassembled")
+    every = records.where("origin is null").select(*names).unionByName(put)
+    key = lambda page: F.concat_ws("/", F.col(page).cast("string"), "payload_digest")
+    at = every.where("record_type = 'response' and page_id is not null").select(key("page_id").alias("key"), F.col("payload_bytes").alias("n")).distinct()
+    revisits = lookup(every.where("record_type = 'revisit'").withColumn("key", key("refers_to")), at, "key")
+    return every.where("record_type <> 'revisit'").unionByName(revisits.select(*(F.col("n").alias("payload_bytes") if c == "payload_bytes" else F.col(c) for c in names)))
 
 
 def op10(spark, pages: DataFrame) -> DataFrame:
+    """Writes and reads the archive, stores what was read and removes the archive."""
     path = shared_path(spark, "warc")
     write_archive(pages, path)
-    out = reassembled(spark, path, with_payload=False)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = materialise(reassembled(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages")
+    drop_path(spark, path)
+    return out
 
 
 OP10_SQL = """
