@@ -16,12 +16,14 @@ P = "_qr_"
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_digits, each named with the prefix P.
+    """docs with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_digits, each named with the prefix P; columns
+    of docs whose names have it too give way.
 
     Words are runs of other than ASCII white space. Null text counts as empty, with all counts zero. All of it is
     array and regular expression functions on the row: no shuffle, and n log n in the words of a text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.lower().startswith(P)))
     words = docs.withColumn(P + "w", F.array_remove(F.split(text, f"[{SPACE}]+"), ""))
     lines = words.withColumn(P + "l", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     w = F.col(P + "w")
@@ -46,7 +48,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": F.regexp_count(text, F.lit("\\p{Lu}")),
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
     }
-    return places.select(*docs.columns, F.monotonically_increasing_id().alias(P + "row"), *(c.cast("long").alias(P + n) for n, c in counts.items()))
+    return places.select(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id().alias(P + "row"), *(c.cast("long").alias(P + n) for n, c in counts.items()))
 
 
 def where(rows: DataFrame, condition: Column) -> DataFrame:
@@ -85,8 +87,8 @@ def covers(rule: tuple[Test, ...], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(x: np.ndarray, bad: np.ndarray, most: int, cuts: int) -> tuple[Test, ...]:
-    """Add the test of the highest gain in information until no good row is covered."""
+def grow(x: np.ndarray, bad: np.ndarray, most: int, cuts: int, banned: frozenset[tuple[str, bool]] = frozenset()) -> tuple[Test, ...]:
+    """Add the test of the highest gain in information until no good row is covered; banned (feature, above) pairs may not come first."""
     rule: list[Test] = []
     inside = np.ones(len(x), bool)
     while len(rule) < most and (~bad & inside).any():
@@ -98,6 +100,8 @@ def grow(x: np.ndarray, bad: np.ndarray, most: int, cuts: int) -> tuple[Test, ..
             for a, c in zip(values, values[1:], strict=False):
                 at = float(a + c) / 2
                 for above in (True, False):
+                    if not rule and (name, above) in banned:
+                        continue
                     m = v >= at if above else v < at
                     p, n = (b & m).sum(), (~b & m).sum()
                     gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0
@@ -122,17 +126,26 @@ def prune(rule: tuple[Test, ...], x: np.ndarray, bad: np.ndarray) -> tuple[Test,
 
 
 def cover(x: np.ndarray, bad: np.ndarray, fold: np.ndarray, rules: int = 16, tests: int = 4, cuts: int = 33, precision: float = 0.95, support: int = 3) -> list[tuple[Test, ...]]:
-    """Sequential covering: each rule is grown on fold rows, pruned on the others, kept while precise, and its rows leave both."""
+    """Sequential covering: each rule is grown on fold rows, pruned on the others, kept if precise on all and on the others alone, and its rows leave both.
+
+    A rule that is not precise enough is left out and the search goes on from the next best first test; it ends when every feature has
+    failed in both directions since the last rule that was kept.
+    """
     out: list[tuple[Test, ...]] = []
-    left = np.ones(len(x), bool)
+    left, banned = np.ones(len(x), bool), set()
     while len(out) < rules and (bad & left).sum() >= support and (~bad & left).any():
-        rule = grow(x[left & fold], bad[left & fold], tests, cuts)
-        rule = prune(rule, x[left & ~fold], bad[left & ~fold]) if rule else rule
-        m = covers(rule, x) & left
-        if not rule or (bad & m).sum() < max(support, precision * m.sum()):
+        grown = grow(x[left & fold], bad[left & fold], tests, cuts, frozenset(banned))
+        if not grown:
             break
-        out.append(rule)
-        left &= ~m
+        rule = prune(grown, x[left & ~fold], bad[left & ~fold])
+        m = covers(rule, x) & left
+        # Rows held back were not searched, so chance finds no rule in them.
+        if rule and all((bad & m & part).sum() >= max(least, precision * (m & part).sum()) for part, least in ((left, support), (~fold, 2))):
+            out.append(rule)
+            left &= ~m
+            banned.clear()
+        else:
+            banned.add((grown[0].feature, grown[0].above))
     return out
 
 
@@ -143,20 +156,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the driver; no other row is computed. Labels of null and rows that fail the base are left out; without rows of both labels
     there are no rules. Repeated labels count repeatedly.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(P + "id"), F.col(label_col).cast("int").alias(P + "y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("learn_id"), F.col(label_col).cast("int").alias("learn_y"))
     total = known.count()
     chance = min(1.0, 1.2 * most_labels / max(1, total))
-    known = known.withColumn(P + "r", F.xxhash64(F.col(P + "id"), F.lit(42)))
-    known = known.where(F.col(P + "r") <= F.lit(int(-(2**63) + chance * (2**64 - 2**11)))) if chance < 1 else known
-    drawn = known.orderBy(P + "r", P + "id", P + "y").limit(most_labels)
-    rows = docs.select(F.col(id_col).alias(P + "doc"), F.col(text_col)).join(F.broadcast(drawn), F.col(P + "doc") == F.col(P + "id"))
+    known = known.withColumn("learn_r", F.xxhash64(F.col("learn_id"), F.lit(42)))
+    known = known.where(F.col("learn_r") <= F.lit(int(-(2**63) + chance * (2**64 - 2**11)))) if chance < 1 else known
+    drawn = known.orderBy("learn_r", "learn_id", "learn_y").limit(most_labels)
+    rows = docs.select(F.col(id_col).alias("learn_doc"), F.col(text_col)).join(F.broadcast(drawn), F.col("learn_doc") == F.col("learn_id"))
     values = rates()
-    data = where(statistics(rows, text_col), ~base_failed()).select(P + "y", (F.pmod(F.xxhash64(P + "id"), F.lit(3)) > 0).alias(P + "g"), P + "id", *(values[f].alias(f) for f in FEATURES)).collect()
+    data = where(statistics(rows, text_col), ~base_failed()).select("learn_y", (F.pmod(F.xxhash64("learn_id"), F.lit(3)) > 0).alias("learn_g"), "learn_id", *(values[f].alias(f) for f in FEATURES)).collect()
     if not data:
         return []
     data.sort(key=lambda r: tuple(r))
     x = np.array([[r[f] for f in FEATURES] for r in data], float)
-    return cover(x, np.array([r[P + "y"] == 0 for r in data]), np.array([r[P + "g"] for r in data]), **params)
+    return cover(x, np.array([r["learn_y"] == 0 for r in data]), np.array([r["learn_g"] for r in data]), **params)
 
 
 def base_failed() -> Column:
@@ -180,7 +193,7 @@ def judged(docs: DataFrame, rules: list[tuple[Test, ...]], text_col: str = "text
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    return where(judged(docs, learn(docs, labels, **params)), F.col(P + "kept")).select(*docs.columns)
+    return where(judged(docs, learn(docs, labels, **params)), F.col(P + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns if not c.lower().startswith(P)))
 
 
 def op5(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
