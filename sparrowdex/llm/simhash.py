@@ -166,11 +166,11 @@ def linked(fps: np.ndarray, home: np.ndarray, radius: int, signs: np.ndarray | N
 
 
 def spread(nodes: list, points: np.ndarray, total: int, mask: np.uint64, r: int, block: int) -> dict[int, int]:
-    """How many blocks each leaf is cut into that the sample says will hold over two blocks of points, home or visiting.
+    """How many blocks each leaf is cut into that the sample says will be home to over two blocks of points.
 
     Such leaves are left where many fingerprints agree in almost all bits of the part, so that no radius splits them.
     """
-    held = {at: (len(home) + len(guest)) * total / max(1, len(points)) for at, home, guest in route(nodes, points, mask, r)}
+    held = {at: len(home) * total / max(1, len(points)) for at, home, _ in route(nodes, points, mask, r)}
     return {at: -int(-n // block) for at, n in held.items() if n > 2 * block}
 
 

@@ -59,7 +59,7 @@ def test_a_leaf_that_no_radius_splits_is_cut(spark):
     fps |= {int(x) for x in rng.integers(0, 1 << 62, 1000)} | {x ^ 1 for x in list(fps)[:200]} | {centre ^ (0b11111 << int(k)) for k in range(0, 55, 3)}
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     nodes = spark.createDataFrame([(x, k) for k, x in enumerate(fps)], "fp long, node long")
-    sizes = simhash.routed(nodes, 4, 3, 64, 2000, 2000).groupBy("shard").count().agg({"count": "max"}).first()[0]
+    sizes = simhash.routed(nodes, 4, 3, 64, 2000, 2000).where("home").groupBy("shard").count().agg({"count": "max"}).first()[0]
     assert sizes <= 8 * 64 < len(fps) // 4
     got = {r.u: r.v for r in components.components(simhash.near_edges(nodes, 4, leaf=64, sample=2000, most_sample=2000)).collect()}
     bits, root = np.array(fps, np.int64).view(np.uint64), list(range(len(fps)))
