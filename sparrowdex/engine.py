@@ -207,14 +207,19 @@ class Engine:
         validate.count(k)
         validate.other_files(results_path, dataset_path)
         rows, _ = corpus.results(self.spark, results_path)
-        first = rows.where("place = 0").agg(F.max("rank").alias("n")).first()["n"] or 0
-        if first < k:
-            warnings.warn(f"the results have {first} sources each, so k is {first}", stacklevel=2)
-        k = max(1, min(k, first))
-        dataset = materialise(corpus.dataset(self.spark, dataset_path), "dataset")
-        gold = dataset.select(F.col("place").alias("question_id"), F.inline("sources")).select("question_id", F.col("file_path").alias("path"), F.col("first_character_index").alias("g_first"), F.col("last_character_index").alias("g_last"))
-        # Results of one question text stand behind each other, in the order of the file.
-        once = dataset.select(F.col("place").alias("asked"), "question")
-        found = numbered(rows.where("rank is not null").join(once, "question").select(F.col("asked").alias("question_id"), "path", "first", "last", "place", F.col("rank").alias("_r")), [F.col("place"), F.col("_r")], "rank", ("question_id",))
-        report = evaluate.recall(found.select("question_id", "path", "first", "last", "rank"), gold, k)
-        return self.spark.range(1, k + 1).select(F.col("id").cast("int").alias("k")).join(report, "k", "left").select("k", F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("num_questions", F.lit(0)).alias("num_questions")).orderBy("k")
+        return recall_of(rows, corpus.dataset(self.spark, dataset_path), k)
+
+
+def recall_of(rows: DataFrame, dataset: DataFrame, k: int) -> DataFrame:
+    """The report of Engine.evaluate() for results and a dataset as corpus reads them."""
+    first = rows.where("place = 0").agg(F.max("rank").alias("n")).first()["n"] or 0
+    if first < k:
+        warnings.warn(f"the results have {first} sources each, so k is {first}", stacklevel=3)
+    k = max(1, min(k, first))
+    dataset = materialise(dataset, "dataset")
+    gold = dataset.select(F.col("place").alias("question_id"), F.inline("sources")).select("question_id", F.col("file_path").alias("path"), F.col("first_character_index").alias("g_first"), F.col("last_character_index").alias("g_last"))
+    # Results of one question text stand behind each other, in the order of the file.
+    once = dataset.select(F.col("place").alias("asked"), "question")
+    found = numbered(rows.where("rank is not null").join(once, "question").select(F.col("asked").alias("question_id"), "path", "first", "last", "place", F.col("rank").alias("_r")), [F.col("place"), F.col("_r")], "rank", ("question_id",))
+    report = evaluate.recall(found.select("question_id", "path", "first", "last", "rank"), gold, k)
+    return rows.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("k")).join(report, "k", "left").select("k", F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("num_questions", F.lit(0)).alias("num_questions")).orderBy("k")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.functions import scoring as S
+from sparrowdex.operators.models import Windows
 from sparrowdex.storage import ship
 
 
@@ -54,10 +55,12 @@ class HashedWords:
         return np.random.default_rng(seed).standard_normal(self.dimension)
 
 
-def window_mean(vectors: np.ndarray, length: int, stride: int) -> np.ndarray:
-    """One text's embedding of its tokens' vectors; zero for a text without tokens."""
-    step, n = length - stride, len(vectors)
+def window_mean(vectors: np.ndarray | Windows, length: int, stride: int) -> np.ndarray:
+    """One text's embedding of its tokens' vectors, or of those of each window that its model saw; zero for a text without tokens."""
     unit = lambda v: v / max(float(np.sqrt(v @ v)), 1e-12)
+    if isinstance(vectors, Windows):
+        return unit(np.mean([unit(w.mean(axis=0)) if len(w) else np.zeros(w.shape[1]) for w in vectors], axis=0))
+    step, n = length - stride, len(vectors)
     starts = range(0, max(1, -(-(n - length) // step) * step + 1), step)
     return unit(np.mean([unit(vectors[s : s + length].mean(axis=0)) for s in starts], axis=0)) if n else np.zeros(vectors.shape[1])
 

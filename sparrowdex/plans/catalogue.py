@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex import engine
 from sparrowdex.functions import scoring as S
 from sparrowdex.functions import text as X
 from sparrowdex.functions.stem import stems
 from sparrowdex.operators import answer, chunking, encode, evaluate, index, rank
-from sparrowdex.sources import tables
-from sparrowdex.storage import drop_path, materialise, shared_path, stored, version
+from sparrowdex.plans import fixtures
+from sparrowdex.sources import corpus, tables
+from sparrowdex.storage import drop_path, materialise, shared_path, stored, version, write_text
 
 
 #: Indexes by application and version of the table.
@@ -86,7 +88,9 @@ def query_terms(i):
 
 
 def stem_terms(i):
-    return i.questions.select(F.explode(X.query_terms(F.col("question"))).alias("term")).distinct().withColumn("stem", stems(F.col("term")))
+    asked = i.questions.select(F.explode(X.query_terms(F.col("question"))).alias("term"))
+    held = i.table("documents").select(F.explode(X.text_tokens(F.col("text"))).alias("term"))
+    return asked.unionByName(held).distinct().withColumn("stem", stems(F.col("term")))
 
 
 def chunk_text(i):
@@ -229,23 +233,45 @@ def search_cache_key(i):
 
 
 def cache_split(hit: bool):
+    """The cache holds every question asked for one source; requests ask for as many as their number's remainder."""
+
     def run(i):
-        requests = search_cache_key(i)
-        return answer.split_by_cache(requests, requests.where(F.col("question_id") < 20))[0 if hit else 1].select("question_id")
+        cache = i.questions.select(X.search_key(F.lit(1), F.col("question")).alias("key"))
+        return answer.split_by_cache(search_cache_key(i), cache)[0 if hit else 1].select("question_id", "key")
 
     return run
 
 
-CODE = '"""Doc."""\nimport os\nX = 1\nimport sys\n\n\n@wraps\ndef f(a):\n    # inside\n    return a\n\n\n# alone\nclass C:\n    def g(self):\n        return 2\n'
-
-
 def chunk_code(i):
-    """The first fixture is source, the others are documents that do not parse and are cut like text."""
+    """Fixtures that are source, and the documents, of which those named .py do not parse and are cut like text."""
     docs = tables.files(i.table("documents"))
-    source = docs.sparkSession.createDataFrame([(-1, "fixture.py", CODE)], "doc_id long, path string, text string")
+    source = i.spark.createDataFrame([(-1 - k, f"fixture{k}.py", text) for k, (text, _) in enumerate(fixtures.CODE)], "doc_id long, path string, text string")
     return chunking.chunk(docs.unionByName(source)).select("doc_id", "first", "last")
 
 
+def stem_sample(i):
+    words = i.spark.createDataFrame([(w,) for w, _ in fixtures.STEM_SAMPLE], "word string")
+    return words.select("word", stems(F.col("word")).alias("stem"))
+
+
+def bm25_stemmed_topk(i):
+    """As the engine searches: stemmed postings and question terms, with the boost."""
+    path = shared_path(i.spark, "stemmed")
+    ix = index.publish(materialise(i.terms, "terms"), path, stem=True)
+    asked = materialise(rank.question_terms(i.questions, stem=True), "question-terms")
+    return rank.best(rank.scores(rank.narrowed(ix, asked), asked, True), 5).select("question_id", "rank", "chunk_id", "score")
+
+
+def hybrid_topk(i):
+    """Boosted BM25 and cosine fused over all chunks of documents that have a vector; a chunk has its document's, a question that of its number."""
+    vectors = i.table("embeddings").select("vec_id", "embedding")
+    asked = vectors.join(i.questions, F.col("vec_id") == F.col("question_id")).select("question_id", F.col("embedding").alias("vector"))
+    ix, scored = bm25(i, True)
+    of_documents = rank.cosine(vectors.withColumnRenamed("vec_id", "doc_id"), asked, "doc_id")
+    cosines = of_documents.join(ix.chunks.select("chunk_id", F.shiftright("chunk_id", 32).alias("doc_id")), "doc_id").select("question_id", "chunk_id", "cosine")
+    return rank.hybrid(scored, cosines, 10).select("question_id", "rank", "chunk_id", "fused")
+
+
 def dataset_json_roundtrip(i):
     from sparrowdex import schemas
 
@@ -253,13 +279,56 @@ def dataset_json_roundtrip(i):
     return doc.select(F.inline(F.from_json("value", schemas.DATASET)["rag_questions"])).select(F.col("question_id").cast("long").alias("question_id"), "question")
 
 
+def file_scan(i):
+    """The benchmark's texts written as files under odd names and read as a corpus."""
+    root = shared_path(i.spark, "corpus")
+    for r in i.questions.collect():  # a stated set of files
+        write_text(i.spark, f"{root}/{fixtures.PLACES[r.question_id % 6].format(r.question_id)}", r.question)
+    return corpus.files(i.spark, root).select("path", F.length("text").alias("n"), F.md5(F.col("text")).alias("digest"))
+
+
+def _dataset_file(i) -> str:
+    """A dataset file of the benchmark's questions with their gold spans."""
+    span = F.struct(F.col("path").alias("file_path"), F.col("g_first").alias("first_character_index"), F.col("g_last").alias("last_character_index"))
+    gold = i.gold.groupBy("question_id").agg(F.array_sort(F.collect_list(span)).alias("sources"))
+    rows = i.questions.join(gold, "question_id", "left").orderBy("question_id").select(F.col("question_id").cast("string").alias("question_id"), "question", "sources")
+    path = shared_path(i.spark, "dataset")
+    write_text(i.spark, path, corpus.document(rows, "rag_questions"))
+    return path
+
+
+def _results_file(i) -> str:
+    ix, scored = bm25(i, True)
+    nested = rank.results(rank.best(scored, 10), ix.chunks)
+    rows = i.questions.join(nested, "question_id", "left").orderBy("question_id").select(F.col("question_id").cast("string").alias("question_id"), "question", "retrieved_sources")
+    path = shared_path(i.spark, "results")
+    write_text(i.spark, path, corpus.document(rows, "search_results", k=10))
+    return path
+
+
+def dataset_scan(i):
+    rows = corpus.dataset(i.spark, _dataset_file(i))
+    return rows.select("place", F.col("question_id").cast("long").alias("question_id"), "question", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))
+
+
+def results_scan(i):
+    rows, k = corpus.results(i.spark, _results_file(i))
+    return rows.where("rank is not null").select("place", F.col("question_id").cast("long").alias("question_id"), "rank", "path", "first", "last", F.lit(k).alias("k"))
+
+
+def recall_from_files(i):
+    """The evaluation of a results file against a dataset file, whose questions meet by their text."""
+    return engine.recall_of(corpus.results(i.spark, _results_file(i))[0], corpus.dataset(i.spark, _dataset_file(i)), 10)
+
+
 QUERIES = {
     "file_route": file_route, "tokenize_text": per_token("text"), "tokenize_code": per_token("code"), "stopword_filter": stopword_filter, "query_terms": query_terms, "stem_terms": stem_terms,
     "chunk_text": chunk_text, "chunk_text_stripped": chunk_text_stripped, "min_token_filter": min_token_filter, "path_tokens": path_tokens, "postings": postings, "doc_freq": doc_freq, "corpus_stats": corpus_stats, "idf_floor": idf_floor,
     "bm25_scores": bm25_scores, "bm25_topk": topk(False), "bm25_zero_padding": bm25_zero_padding, "type_boost": type_boost, "bm25_boosted_topk": topk(True), "cosine_topk": cosine_topk, "vector_normalize": vector_normalize,
     "window_mean_pool": window_mean_pool, "rank_all": rank_all, "rrf_fusion_topk": rrf_fusion_topk, "gold_spans": gold_spans, "iou_pairs": iou_pairs, "recall_at_k": recall_at_k, "results_nested": results_nested,
     "context_prompt": context_prompt, "answer_stub": answer_stub, "answer_cache_key": answer_cache_key, "search_cache_key": search_cache_key, "cache_hits": cache_split(True), "cache_misses": cache_split(False),
-    "chunk_code": chunk_code, "dataset_json_roundtrip": dataset_json_roundtrip,
+    "chunk_code": chunk_code, "stem_sample": stem_sample, "bm25_stemmed_topk": bm25_stemmed_topk, "hybrid_topk": hybrid_topk, "dataset_json_roundtrip": dataset_json_roundtrip,
+    "file_scan": file_scan, "dataset_scan": dataset_scan, "results_scan": results_scan, "recall_from_files": recall_from_files,
 }
 
 
@@ -325,9 +394,13 @@ PROMPT = f"""parts AS (SELECT question_id, string_agg('[' || (rank - 1) || '] ('
 prompts AS (SELECT question_id, 'context: ' || chr(10) || coalesce(parts, '') || 'Question: ' || question || chr(10) || chr(10) || 'Answer: ' AS prompt FROM questions LEFT JOIN parts USING (question_id))"""
 DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 R = "WITH RECURSIVE "
+KEYS = "WITH r AS (SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN text ELSE (item_id % 3) || '::' || text END AS key FROM benchmark)"
 
 
 def oracle_sql() -> dict[str, str]:
+    recall = f"{R}{FOUND}, {GOLD}, hits AS (SELECT question_id, path, g_first, g_last, min(rank) AS pos FROM found JOIN gold USING (question_id, path) WHERE {IOU} > 0.05 GROUP BY ALL), per AS (SELECT question_id, k, avg((coalesce(pos, 99) <= k)::INT) AS r FROM gold LEFT JOIN hits USING (question_id, path, g_first, g_last), generate_series(1, 10) AS s(k) GROUP BY ALL) SELECT k::INT AS k, round(avg(r), 6) AS recall, count(*) AS num_questions FROM per GROUP BY k"
+    spans = ", ".join(f"({-1 - k}, {a}, {b})" for k, (_, held) in enumerate(fixtures.CODE) for a, b in held)
+    places = " ".join(f"WHEN {k} THEN '{p.partition('{}')[0]}' || item_id || '{p.partition('{}')[2]}'" for k, p in enumerate(fixtures.PLACES))
     ext = "regexp_extract(path, '[^/](\\.[^./]+)$', 1)"
     routed = f"CASE WHEN {ext} = '.py' THEN 'py' WHEN {ext} IN {_list(X.SKIPPED)} OR suffix(path, '.DS_Store') THEN 'skip' ELSE 'other' END"
     cos = f"SELECT q.vec_id AS question_id, e.vec_id AS chunk_id, round({DOT.format(a='e.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id"
@@ -361,13 +434,20 @@ SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6
         "rrf_fusion_topk": f"WITH c AS ({cos} % 50 = 0), s AS (SELECT c.*, greatest(round(embedding[1]::DOUBLE, 6), 0) AS score FROM c JOIN embeddings ON vec_id = chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS a, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS b FROM s), f AS (SELECT question_id, chunk_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS fused FROM r) SELECT question_id, rank, chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 10",
         "gold_spans": f"WITH {FILES}, {QUESTIONS}, {GOLD} SELECT * FROM gold",
         "iou_pairs": f"{R}{CHUNKS}, {QUESTIONS}, {GOLD} SELECT question_id, path, first::INT AS first, g_first, round({IOU}, 6) AS iou FROM chunks JOIN gold USING (path)",
-        "recall_at_k": f"{R}{FOUND}, {GOLD}, hits AS (SELECT question_id, path, g_first, g_last, min(rank) AS pos FROM found JOIN gold USING (question_id, path) WHERE {IOU} > 0.05 GROUP BY ALL), per AS (SELECT question_id, k, avg((coalesce(pos, 99) <= k)::INT) AS r FROM gold LEFT JOIN hits USING (question_id, path, g_first, g_last), generate_series(1, 10) AS s(k) GROUP BY ALL) SELECT k::INT AS k, round(avg(r), 6) AS recall, count(*) AS num_questions FROM per GROUP BY k",
+        "recall_at_k": recall,
         "results_nested": f"{R}{FOUND} SELECT question_id, (rank - 1)::INT AS at, path AS file_path, first::INT AS first, last::INT AS last FROM found WHERE rank <= 5",
         "context_prompt": f"{R}{FOUND}, {PROMPT} SELECT question_id, length(prompt) AS n, md5(prompt) AS digest FROM prompts",
         "answer_stub": f"{R}{FOUND}, {PROMPT}, top AS (SELECT question_id, substring(text, first + 1, last - first) || chr(10) AS body FROM found JOIN files f ON f.path = found.path WHERE rank = 1) SELECT question_id, substring(body, 1, instr(body, chr(10)) - 1) AS answer FROM top",
         "answer_cache_key": f"""SELECT item_id AS question_id, '[' || to_json(text)::VARCHAR || ', 3, "stub", {answer.MAX_TOKENS}, "' || substring(sha256('{answer.SYSTEM}' || text), 1, 12) || '"]' AS key FROM benchmark""",
         "search_cache_key": "SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN text ELSE (item_id % 3) || '::' || text END AS key FROM benchmark",
-        "cache_hits": "SELECT item_id AS question_id FROM benchmark WHERE item_id < 20",
-        "cache_misses": "SELECT item_id AS question_id FROM benchmark WHERE item_id >= 20",
+        "cache_hits": f"{KEYS} SELECT question_id, key FROM r WHERE key IN (SELECT '1::' || text FROM benchmark)",
+        "cache_misses": f"{KEYS} SELECT question_id, key FROM r WHERE key NOT IN (SELECT '1::' || text FROM benchmark)",
+        "chunk_code": f"{R}{CHUNKS} SELECT doc_id, first::INT AS first, last::INT AS last FROM chunks UNION ALL SELECT * FROM (VALUES {spans}) AS v(doc_id, first, last)",
+        "stem_sample": f"SELECT * FROM (VALUES {', '.join(f"('{w}', '{t}')" for w, t in fixtures.STEM_SAMPLE)}) AS v(word, stem)",
+        "hybrid_topk": f"{R}{BOOSTED}, c AS (SELECT question_id, e.vec_id AS doc_id, round({DOT.format(a='e.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings e, embeddings q JOIN questions ON q.vec_id = question_id), b AS (SELECT c.question_id, t.chunk_id, coalesce(score, 0) AS score, cosine FROM terms t JOIN c ON doc_id = t.chunk_id >> 32 LEFT JOIN boosted USING (question_id, chunk_id)), ranks AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS x, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS y FROM b), f AS (SELECT question_id, chunk_id, round(1.0::DOUBLE / (60 + x) + 1.0::DOUBLE / (60 + y), 9) AS fused FROM ranks) SELECT question_id, rank, chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 10",
+        "file_scan": f"SELECT 'data/raw/' || CASE item_id % 6 {places} END AS path, length(text)::INT AS n, md5(text) AS digest FROM benchmark WHERE item_id % 6 <> 5",
+        "dataset_scan": f"WITH {FILES}, {QUESTIONS}, {GOLD}, n AS (SELECT question_id, count(*) AS n FROM gold GROUP BY question_id) SELECT (row_number() OVER (ORDER BY question_id) - 1)::INT AS place, question_id, question, coalesce(n, 0)::INT AS n_sources FROM questions LEFT JOIN n USING (question_id)",
+        "results_scan": f"{R}{FOUND}, p AS (SELECT question_id, (row_number() OVER (ORDER BY question_id) - 1)::INT AS place FROM questions) SELECT place, question_id, rank::INT AS rank, path, first::INT AS first, last::INT AS last, 10 AS k FROM found JOIN p USING (question_id)",
+        "recall_from_files": recall,
         "dataset_json_roundtrip": "SELECT item_id AS question_id, text AS question FROM benchmark",
     }

@@ -84,12 +84,17 @@ def results(spark, path: str) -> tuple[DataFrame, int]:
     return each.select("place", "question_id", "question", F.col("s.file_path").alias("path"), F.col("s.first_character_index").alias("first"), F.col("s.last_character_index").alias("last"), (F.col("at") + 1).alias("rank")), k["k"] if k else 0
 
 
+def document(rows: DataFrame, name: str, **more) -> str:
+    """One JSON document {name: rows, ...} in the order of the rows: a result for people and other tools, as large as its questions."""
+    lines = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct(*rows.columns))).collect()]
+    return json.dumps({name: lines} | more, indent=2, ensure_ascii=False)
+
+
 def write_document(rows: DataFrame, name: str, path: str, **more) -> None:
-    """One JSON document {name: rows, ...}: a result for people and other tools, as large as its questions; in a file of just this name."""
+    """document() in a local file of just this name."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    lines = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct(*rows.columns))).collect()]
-    target.write_text(json.dumps({name: lines} | more, indent=2, ensure_ascii=False), encoding="utf-8")
+    target.write_text(document(rows, name, **more), encoding="utf-8")
 
 
 def cache(spark, path: str, schema: str) -> DataFrame:

@@ -215,3 +215,25 @@ def test_embedding_equals_its_pooling_in_sql(spark):
     assert np.allclose(by[1], want, atol=1e-6) and not by[2].any() and not by[3].any()
     near = rank.cosine(spark.createDataFrame([(1, by[1].tolist())], "chunk_id long, embedding array<float>"), spark.createDataFrame([("q", by[1].tolist())], "question_id string, vector array<float>"))
     assert near.first()["cosine"] == pytest.approx(1.0, abs=1e-5)
+
+
+def test_a_sentence_model_sees_windows(spark, tmp_path, monkeypatch):
+    """The adapter's windows and pooling, with a tokenizer of words and a session that returns a vector for each id."""
+    import types
+
+    import onnxruntime
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from sparrowdex.operators.models import onnx_encoder
+
+    t = Tokenizer(models.WordLevel({"[UNK]": 0} | {f"w{i}": i + 1 for i in range(50)}, "[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "tokenizer.json"))
+    table = np.random.default_rng(0).standard_normal((51, 8)).astype(np.float32)
+    fake = types.SimpleNamespace(get_inputs=lambda: [types.SimpleNamespace(name="input_ids"), types.SimpleNamespace(name="attention_mask")], run=lambda _, feeds: [table[feeds["input_ids"]] * feeds["attention_mask"][..., None]])
+    monkeypatch.setattr(onnxruntime, "InferenceSession", lambda path: fake)
+    make = onnx_encoder(str(tmp_path), 256, 32)
+    ids = [i % 50 + 1 for i in range(600)]
+    got = [encode.window_mean(v, 0, 0) for v in make()([" ".join(f"w{i - 1}" for i in ids), "w3"])]
+    assert make.name == tmp_path.name and np.allclose(got[0], encode.window_mean(table[ids], 256, 32), atol=1e-6)
+    assert np.allclose(got[1], table[4] / np.linalg.norm(table[4]), atol=1e-6)
