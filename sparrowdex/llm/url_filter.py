@@ -105,3 +105,35 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str
 
 def op7(spark, pages: DataFrame) -> DataFrame:
     return judged(pages.select("page_id", "url", "html")).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.round("_trust", 9).alias("trust"), F.round("_distrust", 9).alias("distrust"))
+
+
+_URL_HOST = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rules_sql(rules: list[tuple[str, str]] = RULES) -> tuple[str, str]:
+    rule = verdict = ""
+    for kind, text in sorted(rules, key=lambda r: -len(r[1])):
+        name, _, rest = text.partition("/")
+        fits = f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN"
+        rule, verdict = f"{rule} {fits} '{text}'", f"{verdict} {fits} '{kind}'"
+    return f"CASE{rule} END", f"CASE{verdict} END"
+
+
+#: The same sums by a recursion, a round a step: at most 200 rounds, of which those up to the tolerance count.
+OP7_SQL = f"""
+WITH RECURSIVE split AS (SELECT page_id, {_URL_HOST.format("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+ruled AS (SELECT page_id, host, path, {_rules_sql()[0]} AS rule, {_rules_sql()[1]} AS ruled FROM split),
+links AS (SELECT host AS src, unnest(list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1), lambda x: regexp_matches(x, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')))) AS href FROM split),
+edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {_URL_HOST.format("CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END")} AS dst FROM links) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+both_ways AS (SELECT 0 AS kind, src AS a, dst AS b, n FROM edges UNION ALL SELECT 1, dst, src, n FROM edges),
+graph AS (SELECT kind, a, b, n / (sum(n) OVER (PARTITION BY kind, a))::DOUBLE AS w FROM both_ways),
+seeds AS (SELECT host, avg((ruled = 'allow')::INT) AS trust, avg((ruled = 'block')::INT) AS distrust FROM ruled WHERE ruled IS NOT NULL AND host <> '' GROUP BY host),
+walk AS (
+  SELECT 0 AS k, kind, host, r FROM (SELECT 0 AS kind, host, trust * {1 - 0.85!r}::DOUBLE AS r FROM seeds UNION ALL SELECT 1, host, distrust * {1 - 0.85!r}::DOUBLE FROM seeds) WHERE r > 0
+  UNION ALL SELECT k + 1, walk.kind, b, sum(w * r * 0.85::DOUBLE) FROM walk JOIN graph ON graph.kind = walk.kind AND a = host WHERE k < 200 GROUP BY k + 1, walk.kind, b
+), sums AS (SELECT k, kind, sum(r) AS s FROM walk GROUP BY k, kind),
+stop AS (SELECT min(k) AS k FROM (SELECT sums.k, bool_and(sums.s < 1e-6 * given.s) AS done FROM sums JOIN sums given ON given.k = 0 AND given.kind = sums.kind WHERE sums.k > 0 GROUP BY sums.k) WHERE done),
+scores AS (SELECT host, sum(CASE WHEN kind = 0 THEN r ELSE 0 END) AS trust, sum(CASE WHEN kind = 1 THEN r ELSE 0 END) AS distrust FROM walk WHERE k < coalesce((SELECT k FROM stop), 1000) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM ruled LEFT JOIN scores USING (host)
+"""

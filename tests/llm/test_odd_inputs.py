@@ -1,5 +1,6 @@
 """Long inputs, clashing names, repeated rows and empty tables for the operators that test_operators.py does not try them on."""
 
+import hashlib
 import math
 import random
 import time
@@ -48,16 +49,14 @@ def test_decontamination_keeps_columns_of_any_name(spark):
 
 
 def test_shards_equal_a_second_ranking(spark):
-    """Shuffled ranks within sources, fractional ranks and the cut, by plain sorting; the hash alone is Spark's."""
+    """Shuffled ranks within sources, fractional ranks and the cut, by plain sorting."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", F.lit(9).alias("SHARD"), F.lit("x").alias("slot"))
-    rows = docs.select("doc_id", "source", F.xxhash64(F.lit(42), "doc_id").alias("h")).collect()
     strata = {}
-    for r in rows:
-        strata.setdefault(r.source, []).append(r)
+    for r in docs.collect():
+        strata.setdefault(r.source, []).append((int(hashlib.md5(f"42:{r.doc_id}".encode()).hexdigest()[:15], 16), r.doc_id))
     order = []
     for source, held in strata.items():
-        held.sort(key=lambda r: ((r.h % 2**64 >> 11) * 2.0**-53, r.h, r.doc_id))
-        order += [((k + 0.5) / len(held), source, r.h, r.doc_id) for k, r in enumerate(held)]
+        order += [((k + 0.5) / len(held), source, h, i) for k, (h, i) in enumerate(sorted(held))]
     order.sort()
     for shards in (1, 3, 8):
         cuts = [k * (len(order) // shards) + min(k, len(order) % shards) for k in range(shards + 1)]
