@@ -163,3 +163,37 @@ def document_files(docs: DataFrame) -> DataFrame:
 def op1(spark, docs: DataFrame) -> DataFrame:
     out = scan(document_files(docs))
     return out.select("doc_id", "path", F.col("_own").alias("own_license"), F.round("_score", 6).alias("score"), F.col("_license").alias("license"), F.col("_from").alias("license_path"), F.col("_how").alias("how"))
+
+
+def op1_sql() -> str:
+    """The scan of document_files() in SQL, with the same templates."""
+    held = ", ".join(f"({k}, '{n.partition('#')[0]}', '{TEMPLATES[n].replace(chr(39), chr(39) * 2)}')" for k, n in enumerate(sorted(TEMPLATES)))
+    return f"""
+WITH templates(k, license, line) AS (VALUES {held}),
+files AS (SELECT doc_id, concat_ws('/', source, lang, ((doc_id % 10 + 10) % 10)::VARCHAR, CASE WHEN length(text) < 400 AND regexp_matches(text, '(?i)licen[cs]e') THEN 'LICENSE-' || doc_id ELSE 'doc_' || doc_id || '.txt' END) AS path, coalesce(text, '') AS text FROM documents),
+statements AS (
+  SELECT DISTINCT path, unnest(list_concat(
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')),
+    list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: regexp_matches(x, '{TRIGGER}')),
+    CASE WHEN regexp_matches(path, '{LICENCE_FILE}') THEN [text] ELSE [] END)) AS line
+  FROM files WHERE regexp_matches(text, '{TRIGGER}') OR regexp_matches(path, '{LICENCE_FILE}')
+),
+lines AS (SELECT DISTINCT line FROM statements),
+tf AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM lines) GROUP BY ALL),
+of_template AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT term FROM tf UNION ALL SELECT term FROM of_template) GROUP BY term),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM lines) + (SELECT count(*) FROM templates)) / (1.0::DOUBLE + df)) + 1.0 AS idf FROM df),
+norms AS (SELECT line, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tf JOIN idf USING (term) GROUP BY line),
+template_norms AS (SELECT k, sqrt(sum(tf * idf * tf * idf)) AS norm FROM of_template JOIN idf USING (term) GROUP BY k),
+dots AS (SELECT line, o.k, sum(tf.tf * idf * o.tf * idf) AS dot FROM tf JOIN of_template o USING (term) JOIN idf USING (term) GROUP BY ALL),
+cosines AS (SELECT line, k, round(dot / n.norm / t.norm, 9) AS score FROM dots JOIN norms n USING (line) JOIN template_norms t USING (k)),
+best AS (SELECT path, k, score FROM (SELECT path, k, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, k) AS pos FROM statements JOIN cosines USING (line)) WHERE pos = 1 AND score >= 0.5),
+own AS (SELECT path, license, score FROM best JOIN templates USING (k)),
+given AS (SELECT * FROM (SELECT regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir, path AS license_path, license, row_number() OVER (PARTITION BY regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) ORDER BY score DESC, path, license) AS pos FROM own WHERE regexp_matches(path, '{LICENCE_FILE}')) WHERE pos = 1),
+dirs AS (SELECT DISTINCT regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir FROM files),
+near AS (SELECT * FROM (SELECT d.dir, license_path, license, row_number() OVER (PARTITION BY d.dir ORDER BY length(g.dir) DESC) AS pos FROM dirs d JOIN given g ON g.dir = '' OR d.dir = g.dir OR starts_with(d.dir, g.dir || '/')) WHERE pos = 1)
+SELECT doc_id, f.path, o.license AS own_license, round(o.score, 6) AS score, coalesce(o.license, n.license) AS license,
+  CASE WHEN o.license IS NOT NULL THEN f.path ELSE n.license_path END AS license_path,
+  CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN near n ON n.dir = regexp_extract(f.path, '(?s)^(.*)/[^/]*$', 1)
+"""

@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_license_scan": license_scan.op1_sql(), "op4_sharding": sharding.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_warc": warc.OP10_SQL}
