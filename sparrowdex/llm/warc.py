@@ -93,8 +93,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("page").alias("n")).where("n > 1").select("digest", "first")
-    plan = lookup(rows, firsts, "digest").select(F.monotonically_increasing_id().cast("string").alias("serial"), "page", "url", "html", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("first"))
+    firsts = materialise(rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    plan = lookup(rows, firsts.drop("n"), "digest", sizes=firsts.select("digest", "n")).select(F.monotonically_increasing_id().cast("string").alias("serial"), "page", "url", "html", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
