@@ -29,6 +29,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("nav footer aside form menu dialog button search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+SECTIONS = frozenset("article main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_ENDS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "legend", "summary", "figcaption"}
 #: A start tag ends an open element of these, if no border lies between.
@@ -124,15 +125,15 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            k = last({tag})
+            held = places.get(tag)
             # An inline end tag does not end a block.
-            if k and (tag in BLOCK or last({"#block"}) < k):
-                close(k)
+            if held and (tag in BLOCK or not places["#block"] or places["#block"][-1] < held[-1]):
+                close(held[-1])
             continue
         for tags, borders in ([({"p"}, BORDERS)] if tag in P_ENDS else []) + ([SIBLINGS[tag]] if tag in SIBLINGS else []):
-            if (k := last(tags)) > last(borders):
+            if (k := last(tags)) and k > last(borders):
                 close(k)
-        node = Node(tag, path[-1], is_aside(tag, m[3], last({"article", "main", "section"}) > 0))
+        node = Node(tag, path[-1], is_aside(tag, m[3], tag != "header" or last(SECTIONS) > 0))
         node.named = not node.aside and is_named(tag, m[3])
         path[-1].items.append(node)
         if tag in VERBATIM:
