@@ -114,13 +114,20 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) from the pieces between double line ends, by the lengths in the headers."""
+    """(headers, block) from the pieces between double line ends, by the lengths in the headers.
+
+    Where the last record of a file ends in a line end, the piece after its last double line end is a line end and not empty, so
+    the pieces put together hold a double line end too many; between records those are skipped.
+    """
     held, headers, need = bytearray(), None, 0
     for piece in pieces:
         held += piece
         held += BEND
         while True:
             if headers is None:
+                if held.startswith(BEND):
+                    del held[:4]
+                    continue
                 end = held.find(BEND)
                 if end < 0:
                     break

@@ -245,3 +245,23 @@ def test_the_archive_is_read_once(spark):
     out = warc.reassembled(spark, path)
     drop_path(spark, path)
     assert {r.page_id: r.payload_bytes for r in out.collect()} == {r.page_id: len(r.html) for r in pages.collect()}
+
+
+def test_warc_segments_that_end_in_line_ends():
+    """Files cut at double line ends as the text reader cuts them, with blocks whose last segments are of every small size."""
+    for n in range(60, 140):
+        files = []
+        for name in ("a", "b"):
+            records = list(warc.page_records(name, 1, "http://a/b", b"x" * n, "d", None, 64, 50))
+            pieces = "".join(r + warc.END for r in records).split(warc.END)
+            files += [p.encode() for p in (pieces if pieces[-1] else pieces[:-1])]
+        found = list(warc.split_records(iter(files)))
+        assert len(found) == 2 * len(records)
+        body = b"".join(block for _, block in found[: len(records)])
+        assert warc.dechunked(body.partition(warc.BEND)[2]) == b"x" * n
+
+
+def test_warc_reads_a_file_that_ends_in_a_short_segment(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archive(spark.createDataFrame([(1, "http://a/b", "x" * 90)], "page_id long, url string, html string").coalesce(1), path, segment=64, chunk=50)
+    assert [r.payload for r in warc.reassembled(spark, path).collect()] == ["x" * 90]
