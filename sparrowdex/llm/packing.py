@@ -8,6 +8,7 @@ pieces then find their place by their rank within their length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ from sparrowdex.storage import materialise, partitions, ship
 
 #: Special tokens of the vocabulary byte_bpe_50k (fixed value).
 SPECIAL = (("<|endoftext|>", 50256),)
+#: White space of the vocabularies' patterns: Unicode's White_Space, and a run of it that is encoded apart where a text is too much for the pattern.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = re.compile(f"(?<![{WHITE}])[{WHITE}]{{1000,}}")
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -32,18 +36,40 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; the special tokens' strings in a text become their ids."""
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes; the special tokens' strings in a text become their ids.
+
+    The pattern's rule for white space is ``\\s+(?!\\S)|\\s+``, for which the library gives up on runs of about a million characters. Texts that
+    hold such are cut there: all of a run but its last character is one piece, and so is the last one with what follows.
+    """
 
     def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
-        self.encode = (lambda text: encoding.encode(text, allowed_special="all")) if special else encoding.encode_ordinary
+        self.special = dict(special)
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.whole = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+        self.parts = re.compile("|".join(f"({re.escape(x)})" for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
+
+    def _encode(self, text: str) -> list[int]:
+        return self.encoding.encode(text, allowed_special=set(self.special), disallowed_special=())
+
+    def _cut(self, text: str) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        for m in LONG.finditer(text):
+            ids += self._encode(text[at : m.start()])
+            at = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self.whole.encode(text[m.start() : at], disallowed_special=())
+        return ids + self._encode(text[at:])
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        try:
+            ids = self._encode(text)
+        except ValueError:
+            ids = [i for part in self.parts.split(text) if part for i in ([self.special[part]] if part in self.special else self._cut(part))]
+        return np.array(ids, "<u4").tobytes()
 
 
 def encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = SPECIAL) -> Encoder:
@@ -63,7 +89,7 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and then end_id, cut to the capacity.
 
-    Null and empty texts are one piece of one id. ranks: the vocabulary's file of ranks; with the special tokens of the
+    Null and empty texts are one piece of one id; texts of any length are encoded whole, long runs of white space too. ranks: the vocabulary's file of ranks; with the special tokens of the
     vocabulary the ids are those that its tokenizers file gives with add_special_tokens=False. special=() takes their strings for ordinary text.
     """
     import public_tokenizers

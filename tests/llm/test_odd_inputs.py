@@ -6,11 +6,12 @@ import random
 import time
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from sparrowdex.llm import chat, decontaminate, html_extract, queries, sharding, url_filter, warc
+from sparrowdex.llm import chat, decontaminate, html_extract, packing, queries, sharding, url_filter, warc
 from sparrowdex.storage import drop_path, shared_path
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +266,24 @@ def test_warc_reads_a_file_that_ends_in_a_short_segment(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archive(spark.createDataFrame([(1, "http://a/b", "x" * 90)], "page_id long, url string, html string").coalesce(1), path, segment=64, chunk=50)
     assert [r.payload for r in warc.reassembled(spark, path).collect()] == ["x" * 90]
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000, "a" + "\n" * 1_500_000 + "x", "see\u3000<|endoftext|>" + " \t\u2003" * 500_000 + "<|endoftext|>" + " " * 3000 + "b  c" + "\r\n" * 2000 + "'s", "x" * 1_500_000])
+def test_ids_of_texts_too_long_for_the_pattern(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    e = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert np.frombuffer(e(text), "<u4").tolist() == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    plain = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ())
+    assert 50256 not in np.frombuffer(plain(text), "<u4")
+
+
+def test_cutting_at_white_space_changes_no_ids():
+    import public_tokenizers as P
+
+    e = packing.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for space in (" ", "\n", " \n", "\u2003 ", "\x85"):
+        for tail in ("", "x", "'s", "\x1c", " ", "9 "):
+            text = "ab  c" + space * 1500 + tail + space * 1000
+            assert e._cut(text) == e._encode(text)
