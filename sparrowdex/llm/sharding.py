@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdex.storage import materialise, partitions
 
-MOST_BLOCKS = 1 << 16
+
+def _same(by: list[str], prefix: str) -> Column:
+    """Whether columns equal their namesakes with the prefix, nulls too."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(prefix + c)) for c in by))
 
 
-def _ranks(rows: DataFrame, key: list[str], order: list[Column], place: Column, blocks: Column, name: str) -> DataFrame:
+def _ranks(rows: DataFrame, key: list[str], order: list[Column], place: Column, blocks: Column, run: int, name: str) -> DataFrame:
     """rows with their 0-based rank in order within key, named name.
 
     place, a number from 0 to below 1 that the order follows first, deals rows into blocks; blocks are ranked on
-    their own and shifted by the counts of the blocks before them, so no task holds a whole key.
+    their own and shifted by the counts of the blocks before them, so no task holds a whole key. The counts are summed within
+    runs of run blocks and over the runs before, so with the root of the number of blocks for run no task sums more than that.
     """
     dealt = rows.withColumn("_b", F.floor(place * blocks).cast("long"))
     by = [*key, "_b"]
-    count = dealt.groupBy(*by).agg(F.count("*").alias("_k"))
-    before = count.select(*(F.col(c).alias("_of_" + c) for c in by), (F.sum("_k").over(Window.partitionBy(*key or [F.lit(0)]).orderBy("_b")) - F.col("_k")).alias("_before"))
+    count = dealt.groupBy(*by).agg(F.count("*").alias("_k")).withColumn("_run", F.floor(F.col("_b") / run))
+    totals = count.groupBy(*key, "_run").agg(F.sum("_k").alias("_n_run"))
+    runs = totals.select(*(F.col(c).alias("_in_" + c) for c in [*key, "_run"]), (F.sum("_n_run").over(Window.partitionBy(*key or [F.lit(0)]).orderBy("_run")) - F.col("_n_run")).alias("_runs_before"))
+    within = count.withColumn("_inside", F.sum("_k").over(Window.partitionBy(*key, "_run").orderBy("_b")) - F.col("_k"))
+    before = within.join(runs, _same([*key, "_run"], "_in_")).select(*(F.col(c).alias("_of_" + c) for c in by), (F.col("_runs_before") + F.col("_inside")).alias("_before"))
     ranked = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    same = [F.col(c).eqNullSafe(F.col("_of_" + c)) if c != "_b" else F.col(c) == F.col("_of_" + c) for c in by]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return ranked.join(before, on).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_b", "_at", "_before", *("_of_" + c for c in by))
+    return ranked.join(before, _same(by, "_of_")).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_b", "_at", "_before", *("_of_" + c for c in by))
 
 
 def shuffled_place(key: Column, seed: int) -> Column:
@@ -41,7 +47,7 @@ def interleave(docs: DataFrame, shards: int = 8, stratum_col: str = "source", id
     which all rows are sorted, and the order is cut into shards whose row counts differ by at most one. So each run of
     rows holds the strata in their overall proportions. A null stratum is a stratum; null ids hash like any other
     value; repeated rows are told apart by place only, so they are interchangeable. Empty tables give empty ones. All columns are
-    carried along, and the rows are read twice: give only what is needed.
+    carried along, and the rows are read twice: give only what is needed. Rows are ranked in blocks of about block rows, however many that makes.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
@@ -50,15 +56,15 @@ def interleave(docs: DataFrame, shards: int = 8, stratum_col: str = "source", id
     rows = rows.select("_in", s.cast("string").alias("_s"), shuffled_place(F.col(f"_in.`{id_col}`"), seed).alias("_h"), F.xxhash64(F.col("_in")).alias("_tie"))
     sizes = materialise(rows.groupBy("_s").agg(F.count("*").alias("_n")), "strata")
     total = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    least = 4 * partitions(spark)
-    blocks = max(1, min(MOST_BLOCKS, max(-(-total // block), least)))
+    blocks = max(1, -(-total // block), 4 * partitions(spark))
+    run = math.isqrt(blocks)
     sized = sizes.select(F.col("_s").alias("_sn"), "_n", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(blocks) / F.lit(max(1, total)))).alias("_blocks"))
     known = rows.join(sized, F.col("_s").eqNullSafe(F.col("_sn"))).drop("_sn")
     unit = F.col("_h").cast("double") * F.lit(2.0**-60)
     order = [F.col("_h"), F.col(f"_in.`{id_col}`"), F.col("_tie")]
-    shuffled = _ranks(known, ["_s"], [unit, *order], unit, F.col("_blocks"), "_r")
+    shuffled = _ranks(known, ["_s"], [unit, *order], unit, F.col("_blocks"), run, "_r")
     fraction = (F.col("_r") + 0.5) / F.col("_n")
-    placed = _ranks(shuffled.withColumn("_f", fraction), [], [F.col("_f"), F.col("_s"), *order], F.col("_f"), F.lit(blocks), "_p")
+    placed = _ranks(shuffled.withColumn("_f", fraction), [], [F.col("_f"), F.col("_s"), *order], F.col("_f"), F.lit(blocks), run, "_p")
     small, extra = divmod(total, shards)
     head = extra * (small + 1)
     p = F.col("_p")
