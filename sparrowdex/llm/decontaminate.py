@@ -21,6 +21,8 @@ from sparrowdex.storage import ship
 SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Text characters and diagonals that one call of align holds.
 CELLS = 1 << 21
+#: Pairs of an occurrence of a q-gram in a text and a place of it in a passage that are listed at a time.
+HITS = 1 << 22
 _fold: np.ndarray | None = None
 
 
@@ -65,6 +67,11 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
             size *= 2
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all spans of size from first on, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Passages:
     """Benchmark passages, their q-grams and edit budgets."""
 
@@ -119,15 +126,41 @@ class Passages:
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return []
+        # A passage needs that many places whose q-grams are in the text, wherever and however often; most texts stop here.
+        first, which = np.unique(lo, return_inverse=True)
+        size = np.zeros(len(first), np.int64)
+        size[which] = n
+        entry = _spans(first, size)
+        enough = np.bincount(self.owner[entry], minlength=len(self.ids)) >= self.need
+        keep = enough[self.owner[entry]]
+        if not keep.any():
+            return []
+        return self._bands(at + offset, which, entry[keep], np.repeat(np.arange(len(first)), size)[keep], len(first))
+
+    def _bands(self, at: np.ndarray, which: np.ndarray, entry: np.ndarray, gram: np.ndarray, grams_: int) -> list[tuple[int, int]]:
+        """(passage, first diagonal of a band) from occurrences at, of q-grams numbered which, and the index's entries with the numbers of their q-grams.
+
+        Passages are taken apart, and then a text of one passage's occurrences in overlapping halves, until few enough pairs are left to be listed.
+        """
+        size = np.bincount(gram, minlength=grams_)
+        n = size[which]
+        if n.sum() > HITS:
+            owners = np.unique(self.owner[entry])
+            if len(owners) > 1:
+                low = self.owner[entry] < owners[len(owners) // 2]
+                return self._bands(at, which, entry[low], gram[low], grams_) + self._bands(at, which, entry[~low], gram[~low], grams_)
+            at, which = at[n > 0], which[n > 0]
+            reach, middle = len(self.codes[owners[0]]) + int(self.budget[owners[0]]), (at[0] + at[-1]) // 2
+            if at[-1] - at[0] > 4 * reach:
+                parts = [self._bands(at[x], which[x], entry, gram, grams_) for x in (at < middle + reach, at >= middle)]
+                return list(dict.fromkeys(parts[0] + parts[1]))
+            n = size[which]
         pos = np.repeat(at, n)
-        hit = np.repeat(lo, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
+        hit = entry[_spans((np.cumsum(size) - size)[which], n)]
         owner, place = self.owner[hit], self.place[hit]
-        # A passage needs that many hits; most texts stop here.
-        enough = np.bincount(owner, minlength=len(self.ids)) >= self.need
-        keep = enough[owner]
-        if not keep.any():
+        if not len(hit):
             return []
-        owner, place, diagonal = owner[keep], place[keep], pos[keep] + offset - place[keep]
+        diagonal = pos - place
         half = self.budget[owner] + 1
         band = diagonal // half
         out = []

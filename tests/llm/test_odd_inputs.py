@@ -287,3 +287,32 @@ def test_cutting_at_white_space_changes_no_ids():
         for tail in ("", "x", "'s", "\x1c", " ", "9 "):
             text = "ab  c" + space * 1500 + tail + space * 1000
             assert e._cut(text) == e._encode(text)
+
+
+def test_bands_are_the_same_however_few_hits_are_listed(monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    passages = [(k, word(rng.choice([30, 60, 200]))) for k in range(20)] + [(20, "a" * 60)]
+    p = decontaminate.Passages(passages, 8, 0.1)
+    texts = [word(300) + t + word(300) for _, t in passages] + ["a" * 900 + word(200), word(3000), "", "a"]
+    want = [sorted(p.regions(decontaminate.normalise(t)[0])) for t in texts]
+    found = decontaminate.matches(texts, p)
+    assert all(k in {m[0] for m in found[k]} for k in range(20))
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert [sorted(p.regions(decontaminate.normalise(t)[0])) for t in texts] == want
+    assert decontaminate.matches(texts, p) == found
+
+
+def test_wording_that_all_passages_share_costs_a_text_little():
+    """4,000 passages begin alike, and a text holds nothing but that beginning, 50,000 times: 10 ** 9 pairs of places."""
+    rng = random.Random(4)
+    p = decontaminate.Passages([(k, "Question number: " + "".join(rng.choice("abcdefgh") for _ in range(100))) for k in range(4000)], 8, 0.1)
+    began = time.time()
+    assert decontaminate.matches(["Question number: " * 50_000], p) == [[]] and time.time() - began < 20
+
+
+def test_shards_do_not_depend_on_the_number_of_blocks(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, "b").alias("source"))
+    of = lambda block: sorted((r.doc_id, r.shard, r.slot) for r in sharding.interleave(docs, 8, block=block).collect())
+    few = of(20_000)
+    assert of(2) == few and sorted(s for _, k, s in few if k == 0) == list(range(375))
