@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparrowdex.llm import chat, decontaminate, html_extract, license_scan, packing, quality_rules, sharding, simhash, token_files, url_filter, warc
+from sparrowdex.llm import chat, decontaminate, html_extract, lexical_search, license_scan, packing, quality_rules, sharding, simhash, token_files, url_filter, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -24,9 +24,10 @@ def queries() -> dict:
         "op8_chat_format": over(chat.op8, "conversations"),
         "op9_simhash": over(simhash.op9, "documents"),
         "op10_warc": over(warc.op10, "pages"),
+        "op12_ranked_search": over(lexical_search.op12, "documents", "benchmark"),
         "op13_token_files": over(token_files.op13, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.op1_sql(), "op4_sharding": sharding.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_license_scan": license_scan.op1_sql(), "op4_sharding": sharding.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_warc": warc.OP10_SQL, "op12_ranked_search": lexical_search.OP12_SQL}
