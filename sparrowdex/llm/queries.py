@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparrowdex.llm import chat, decontaminate, html_extract, lexical_search, license_scan, packing, quality_rules, sharding, simhash, token_files, url_filter, warc
+from sparrowdex.llm import chat, decontaminate, html_extract, lexical_search, license_scan, packing, quality_rules, sharding, simhash, token_alignment, token_files, url_filter, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_chat_format": over(chat.op8, "conversations"),
         "op9_simhash": over(simhash.op9, "documents"),
         "op10_warc": over(warc.op10, "pages"),
+        "op11_token_alignment": over(token_alignment.op11, "documents"),
         "op12_ranked_search": over(lexical_search.op12, "documents", "benchmark"),
         "op13_token_files": over(token_files.op13, "documents"),
     }
