@@ -104,15 +104,14 @@ class Engine:
     def found(self, questions: DataFrame, k: int, hybrid: bool = False) -> DataFrame:
         """(question_id, path, first, last, rank) of the k best chunks for questions (question_id, question): min(k, chunks) rows each."""
         ix = self.tables[1]
-        terms = materialise(rank.question_terms(questions, stem=True), "question-terms")
-        ix = rank.narrowed(ix, terms)
-        scored = materialise(rank.scores(ix, terms, boosted=True), "scored")
+        terms = rank.small(rank.question_terms(questions, stem=True))
         if hybrid:
+            scored = materialise(rank.scores(rank.narrowed(ix, terms), terms, boosted=True), "scored")
             asked = encode.embed(questions, self.encoder, "question_id", "question").withColumnRenamed("embedding", "vector")
             top = rank.hybrid(scored, rank.cosine(self.table("vectors"), asked), k)
         else:
-            top = rank.padded(scored, questions, ix.chunks, k)
-        return top.join(ix.chunks, "chunk_id").select("question_id", "path", "first", "last", "rank")
+            top = rank.search(ix, terms, questions, k, boosted=True)
+        return rank.located(ix, rank.small(top)).select("question_id", "path", "first", "last", "rank")
 
     def nested(self, questions: DataFrame, k: int, hybrid: bool = False) -> DataFrame:
         """(question_id, retrieved_sources): spans best first, with the cache in hybrid mode."""

@@ -2,57 +2,140 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowdex.functions import scoring as S
 from sparrowdex.functions import text as X
-from sparrowdex.operators.index import Index, stemmed
+from sparrowdex.functions.stem import with_stems
+from sparrowdex.operators.index import Index, boost_of, kind_of
 from sparrowdex.operators.order import numbered
 from sparrowdex.storage import materialise
 
-#: Terms of one call's questions that are sent with the plan; with more, all postings are read and joined.
+#: Terms of one call's questions that are sent as a filter, so that scans skip row groups; more are joined.
 MOST_TERMS = 1000
+#: Rows (question, term) of one call that are sent with their weights; with more, all postings of their terms are scored and joined.
+MOST_ASKED = 20_000
+#: Zones of highest bound that are scored first, to learn which score the k best must reach.
+SEEDS = 32
 
 
 def question_terms(questions: DataFrame, stem: bool = False) -> DataFrame:
     """(question_id, term, qtf): a bag, so two words of one stem count twice."""
     pairs = questions.select("question_id", F.explode(X.query_terms(F.col("question"))).alias("term"))
-    return (stemmed(pairs) if stem else pairs).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
+    return (with_stems(pairs, "term") if stem else pairs).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def boosts(chunks: DataFrame, share: DataFrame | None = None) -> DataFrame:
-    """chunks with boost: files of the kind that has under 0.3 of the chunks count 1.2 times. share: the share of .py chunks, where it is known."""
-    py = F.col("path").endswith(".py")
-    share = chunks.agg(F.avg(py.cast("double")).alias("share")) if share is None else share
-    doc = F.coalesce(F.regexp_extract(F.col("path"), "(\\.[^./]+)$", 1).isin(*X.BOOSTED_DOCS), F.lit(False))
-    value = F.when(F.col("share") < S.MIN_RATIO, F.when(py, S.BOOST).otherwise(1.0)).when(1 - F.col("share") < S.MIN_RATIO, F.when(doc, S.BOOST).otherwise(1.0)).otherwise(1.0)
-    return chunks.crossJoin(share).withColumn("boost", value).drop("share")
+    """chunks with boost. share: the share of .py chunks, where it is known."""
+    share = chunks.agg(F.avg(F.col("path").endswith(".py").cast("double")).alias("share")) if share is None else share
+    return chunks.crossJoin(share).withColumn("boost", boost_of(kind_of(F.col("path")), F.col("share"))).drop("share")
 
 
 def narrowed(index: Index, qterms: DataFrame, most: int = MOST_TERMS) -> Index:
-    """The index without terms that no question has, where they have no more than `most`: the scan of the postings then reads only row groups that hold one."""
+    """The index without terms that no question has, where they have no more than `most`."""
     named = [r["term"] for r in qterms.select("term").distinct().limit(most + 1).collect()]
-    if len(named) > most:
-        return index
-    asked = F.col("term").isin(*named) if named else F.lit(False)
-    return dataclasses.replace(index, postings=index.postings.where(asked), term_stats=index.term_stats.where(asked))
+    return index if len(named) > most else index.of_terms(named)
 
 
 def scores(index: Index, qterms: DataFrame, boosted: bool = False) -> DataFrame:
-    """(question_id, chunk_id, score) of chunks that share a term with the question, to 6 places.
+    """(question_id, chunk_id, score) of all chunks that share a term with the question, to 6 places.
 
     The questions' weighed terms are stored first: their true size then decides whether they are sent to the postings or both are shuffled.
     """
-    weight = materialise(qterms.join(index.term_stats.select("term", "idf"), "term"), "weights")
-    hits = index.postings.join(weight, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    w = S.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("qtf")
-    out = hits.groupBy("question_id", "chunk_id").agg(F.sum(w).alias("score"))
-    if boosted:
-        out = out.join(boosts(index.chunks, index.stats.select(F.col("py_share").alias("share"))).select("chunk_id", "boost"), "chunk_id").withColumn("score", F.col("score") * F.col("boost"))
-    return out.select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    weight = materialise(qterms.join(index.term_stats.select("term", "idf"), "term").select("question_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")), "weights")
+    return _summed(index.postings.join(weight, "term"), index, boosted)
+
+
+def _summed(hits: DataFrame, index: Index, boosted: bool) -> DataFrame:
+    hits = hits.crossJoin(F.broadcast(index.stats.select("avgdl", "py_share")))
+    w = S.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("weight"))
+    boost = boost_of(F.col("kind"), F.col("py_share")) if boosted else F.lit(1.0)
+    out = hits.groupBy("question_id", "chunk_id").agg(F.sum(w).alias("w"), F.first(boost).alias("boost"))
+    return out.select("question_id", "chunk_id", F.round(F.col("w") * F.col("boost"), 6).alias("score"))
+
+
+def bounds(index: Index, weights: DataFrame) -> DataFrame:
+    """(question_id, zone, bound, work): what no chunk of the zone can exceed before the boost, and how many postings it takes to score them.
+
+    weights (question_id, term, weight). Only the blocks' terms, zones and highest weights are read.
+    """
+    known = index.blocks.select("term", "zone", "n", "most").join(F.broadcast(weights), "term")
+    return known.groupBy("question_id", "zone").agg(F.sum(F.greatest(F.lit(0.0), F.col("weight") * F.col("most"))).alias("bound"), F.sum("n").alias("work"))
+
+
+def of_zones(index: Index, weights: DataFrame, zones: DataFrame, boosted: bool) -> DataFrame:
+    """scores() of the chunks of zones (question_id, zone): the entries of other blocks are not unpacked."""
+    hits = index.blocks.select("term", "zone", "entries").join(F.broadcast(weights), "term").join(zones.select("question_id", "zone"), ["question_id", "zone"])
+    return _summed(hits.select("question_id", "weight", F.inline("entries")), index, boosted)
+
+
+def reaching(index: Index, weights: DataFrame, k: int, boosted: bool = False) -> DataFrame:
+    """bounds() of the zones that may hold one of a question's k best.
+
+    The zones of highest bound are scored first; the k-th best score there is one that the k best of all reach. A zone is left out
+    only if its bound, with the boost and what rounding may add, is below that.
+    """
+    spark = weights.sparkSession
+    zones = small(bounds(index, weights))
+    seeds = best(zones.where("bound > 0"), SEEDS, "bound", tie="zone")
+    seen = best(of_zones(index, weights, seeds, boosted).where("score > 0"), k).where(F.col("rank") == k)
+    least = [(r["question_id"], r["score"]) for r in seen.select("question_id", "score").collect()]
+    known = spark.createDataFrame(least, T.StructType([weights.schema["question_id"], T.StructField("least", T.DoubleType())]))
+    top = F.lit(S.BOOST if boosted else 1.0)
+    return zones.join(F.broadcast(known), "question_id", "left").where((F.col("bound") > 0) & (F.col("least").isNull() | (F.col("bound") * top * (1 + 1e-9) + 1e-6 >= F.col("least")))).drop("least")
+
+
+def weighed(index: Index, qterms: DataFrame, most: int = MOST_ASKED) -> tuple[Index, DataFrame] | None:
+    """The index of the questions' terms, and (question_id, term, weight) sent with the plan; None for more rows than `most`."""
+    asked = qterms.select("question_id", "term", "qtf").limit(most + 1).collect()
+    if len(asked) > most:
+        return None
+    terms = sorted({r["term"] for r in asked})
+    index = index.of_terms(terms) if len(terms) <= MOST_TERMS else index
+    stats = index.term_stats if len(terms) <= MOST_TERMS else index.term_stats.join(F.broadcast(qterms.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term")
+    idf = {r["term"]: r["idf"] for r in stats.select("term", "idf").collect()}
+    rows = [(r["question_id"], r["term"], idf[r["term"]] * r["qtf"]) for r in asked if r["term"] in idf]
+    return index, qterms.sparkSession.createDataFrame(rows, T.StructType([qterms.schema["question_id"], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
+
+
+def top(index: Index, qterms: DataFrame, k: int, boosted: bool = False) -> DataFrame:
+    """(question_id, chunk_id, score, rank) of each question's k best chunks with a score above 0, equal to best(scores(...)).
+
+    Of a published index only the zones that may hold one are scored. qterms is read once or twice.
+    """
+    sent = weighed(index, qterms) if index.blocks is not None else None
+    if sent is None:
+        return best(scores(narrowed(index, qterms), qterms, boosted).where("score > 0"), k)
+    index, weights = sent
+    return best(of_zones(index, weights, reaching(index, weights, k, boosted), boosted).where("score > 0"), k)
+
+
+def search(index: Index, qterms: DataFrame, questions: DataFrame, k: int, boosted: bool = False) -> DataFrame:
+    """top(), for questions of fewer than k such chunks filled up as padded() does."""
+    found = small(top(index, qterms, k, boosted))
+    counts = found.groupBy("question_id").agg(F.count("*").alias("n"))
+    lacking = small(questions.select("question_id").distinct().join(counts, "question_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("question_id"))
+    if lacking.isEmpty():
+        return found
+    few = F.broadcast(lacking)
+    scored = materialise(scores(narrowed(index, part := qterms.join(few, "question_id")), part, boosted), "scored")
+    rest = padded(scored, questions.join(few, "question_id"), index.chunks, k)
+    return found.join(few, "question_id", "left_anti").unionByName(rest.select(*found.columns))
+
+
+def small(rows: DataFrame, most: int = MOST_ASKED) -> DataFrame:
+    """rows computed once: up to `most` of them sent with later plans, more in a stored table."""
+    held = rows.limit(most + 1).collect()
+    return rows.sparkSession.createDataFrame(held, rows.schema) if len(held) <= most else materialise(rows, "rows")
+
+
+def located(index: Index, found: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """found, computed already, with path, first and last of its chunks: at most `most` different ones are looked up in the row groups that hold them."""
+    ids = [r["chunk_id"] for r in found.select("chunk_id").distinct().limit(most + 1).collect()]
+    spans = index.chunks.select("chunk_id", "path", "first", "last")
+    return found.join(spans if len(ids) > most else spans.where(F.col("chunk_id").isin(*ids) if ids else F.lit(False)), "chunk_id")
 
 
 def best(scored: DataFrame, k: int, by: str = "score", key: str = "question_id", tie: str = "chunk_id") -> DataFrame:

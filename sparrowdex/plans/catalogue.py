@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from sparrowdex import engine
 from sparrowdex.functions import scoring as S
+from sparrowdex.functions import stem as M
 from sparrowdex.functions import text as X
-from sparrowdex.functions.stem import stems
+from sparrowdex.functions.stem import with_stems
 from sparrowdex.operators import answer, chunking, encode, evaluate, index, rank
 from sparrowdex.plans import fixtures
 from sparrowdex.sources import corpus, tables
 from sparrowdex.storage import drop_path, materialise, shared_path, stored, version, write_text
 
 
-#: Indexes by application and version of the table.
-_published: dict[tuple[str, str], str] = {}
+#: Indexes by application, version of the table and whether terms are stemmed.
+_published: dict[tuple[str, str, bool], str] = {}
 
 
 class Inputs:
@@ -49,13 +50,13 @@ class Inputs:
     def terms(self) -> DataFrame:
         return index.chunk_terms(self.chunks).drop("text")
 
-    def index(self) -> index.Index:
+    def index(self, stem: bool = False) -> index.Index:
         """The index of the documents, published once for an application and read by every search, as long as the table stays as it is."""
-        key = (self.spark.sparkContext.applicationId, version(self.spark, f"{self.sf_dir}/documents.parquet"))
+        key = (self.spark.sparkContext.applicationId, version(self.spark, f"{self.sf_dir}/documents.parquet"), stem)
         if key not in _published:
             path = shared_path(self.spark, "index")
             terms, at = stored(self.terms, "terms")
-            index.publish(terms, path)
+            index.publish(terms, path, stem, F.shiftright("chunk_id", 34))
             drop_path(self.spark, at)
             _published[key] = path
         return index.Index.read(self.spark, _published[key])
@@ -90,7 +91,7 @@ def query_terms(i):
 def stem_terms(i):
     asked = i.questions.select(F.explode(X.query_terms(F.col("question"))).alias("term"))
     held = i.table("documents").select(F.explode(X.text_tokens(F.col("text"))).alias("term"))
-    return asked.unionByName(held).distinct().withColumn("stem", stems(F.col("term")))
+    return with_stems(asked.unionByName(held).distinct().withColumn("stem", F.col("term")), "stem")
 
 
 def chunk_text(i):
@@ -137,8 +138,8 @@ def bm25_scores(i):
     return scored.groupBy("question_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"), F.max("score").alias("most"))
 
 
-def topk(boosted: bool, k: int = 5):
-    return lambda i: rank.best(bm25(i, boosted)[1], k).select("question_id", "rank", "chunk_id", "score")
+def topk(boosted: bool, k: int = 5, stem: bool = False):
+    return lambda i: rank.top(i.index(stem), rank.small(rank.question_terms(i.questions, stem)), k, boosted).select("question_id", "rank", "chunk_id", "score")
 
 
 def bm25_zero_padding(i):
@@ -190,8 +191,9 @@ def gold_spans(i):
 
 
 def found(i, k=10):
-    ix, scored = bm25(i, True)
-    return rank.best(scored, k).join(ix.chunks, "chunk_id").select("question_id", "path", "first", "last", "rank")
+    ix = i.index()
+    top = rank.small(rank.top(ix, rank.small(rank.question_terms(i.questions)), k, True))
+    return rank.located(ix, top).select("question_id", "path", "first", "last", "rank")
 
 
 def iou_pairs(i):
@@ -249,19 +251,6 @@ def chunk_code(i):
     return chunking.chunk(docs.unionByName(source)).select("doc_id", "first", "last")
 
 
-def stem_sample(i):
-    words = i.spark.createDataFrame([(w,) for w, _ in fixtures.STEM_SAMPLE], "word string")
-    return words.select("word", stems(F.col("word")).alias("stem"))
-
-
-def bm25_stemmed_topk(i):
-    """As the engine searches: stemmed postings and question terms, with the boost."""
-    path = shared_path(i.spark, "stemmed")
-    ix = index.publish(materialise(i.terms, "terms"), path, stem=True)
-    asked = materialise(rank.question_terms(i.questions, stem=True), "question-terms")
-    return rank.best(rank.scores(rank.narrowed(ix, asked), asked, True), 5).select("question_id", "rank", "chunk_id", "score")
-
-
 def hybrid_topk(i):
     """Boosted BM25 and cosine fused over all chunks of documents that have a vector; a chunk has its document's, a question that of its number."""
     vectors = i.table("embeddings").select("vec_id", "embedding")
@@ -327,7 +316,7 @@ QUERIES = {
     "bm25_scores": bm25_scores, "bm25_topk": topk(False), "bm25_zero_padding": bm25_zero_padding, "type_boost": type_boost, "bm25_boosted_topk": topk(True), "cosine_topk": cosine_topk, "vector_normalize": vector_normalize,
     "window_mean_pool": window_mean_pool, "rank_all": rank_all, "rrf_fusion_topk": rrf_fusion_topk, "gold_spans": gold_spans, "iou_pairs": iou_pairs, "recall_at_k": recall_at_k, "results_nested": results_nested,
     "context_prompt": context_prompt, "answer_stub": answer_stub, "answer_cache_key": answer_cache_key, "search_cache_key": search_cache_key, "cache_hits": cache_split(True), "cache_misses": cache_split(False),
-    "chunk_code": chunk_code, "stem_sample": stem_sample, "bm25_stemmed_topk": bm25_stemmed_topk, "hybrid_topk": hybrid_topk, "dataset_json_roundtrip": dataset_json_roundtrip,
+    "chunk_code": chunk_code, "bm25_stemmed_topk": topk(True, stem=True), "hybrid_topk": hybrid_topk, "dataset_json_roundtrip": dataset_json_roundtrip,
     "file_scan": file_scan, "dataset_scan": dataset_scan, "results_scan": results_scan, "recall_from_files": recall_from_files,
 }
 
@@ -372,10 +361,11 @@ CHUNKS = f"""{FILES}, spans AS (
 ), chunks AS (SELECT s.doc_id, path, first, last, (s.doc_id << 32) + first AS chunk_id, regexp_replace(substring(text, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS body FROM spans s JOIN files f ON f.doc_id = s.doc_id)"""
 TERMS = f"""{CHUNKS}, raws AS (SELECT chunk_id, path, first, last, {_either('body')} AS raw FROM chunks),
 terms AS (SELECT chunk_id, path, first, last, {_stop(f"list_concat(raw, {_either('path')})")} AS terms FROM raws WHERE len(raw) >= 10)"""
-INDEX = f"""{TERMS}, posts AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM terms) GROUP BY ALL),
+POSTS = """posts AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM terms) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM terms), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
 idf0 AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM dfs, stats),
 idfs AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM idf0) ELSE idf0 END AS idf FROM idf0)"""
+INDEX = f"{TERMS}, {POSTS}"
 QTERMS = f"""{QUESTIONS}, qterms AS (SELECT question_id, unnest({_stop(f"list_distinct(list_concat({_code('question')}, {_text('question')}))")}) AS term FROM questions)"""
 SCORES = f"""{INDEX}, {QTERMS}, scored AS (SELECT question_id, chunk_id, sum(idf * tf * 3 / (tf + 2 * (0.7 + 0.3 * dl / avgdl))) AS raw FROM qterms JOIN posts USING (term) JOIN idfs USING (term), stats GROUP BY ALL),
 plain AS (SELECT question_id, chunk_id, round(raw, 6) AS score FROM scored)"""
@@ -397,6 +387,36 @@ R = "WITH RECURSIVE "
 KEYS = "WITH r AS (SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN text ELSE (item_id % 3) || '::' || text END AS key FROM benchmark)"
 
 
+def _stems_sql(words: str) -> str:
+    """CTEs after which stems has (term, stem) of words, a query of one column term."""
+    v = M.V
+
+    def suffixes(ends, to, allowed: str, source: str, name: str) -> str:
+        new = " ".join(f"WHEN '{e}' THEN '{to[e]}'" for e in ends)
+        return f"""{name}e AS (SELECT *, regexp_extract(w, '({'|'.join(ends)})$', 1) AS e FROM {source}), {name}b AS (SELECT *, length(w) - length(e) AS pos, substring(w, length(w) - length(e), 1) AS b FROM {name}e),
+{name} AS (SELECT term, own, r1, r2, CASE WHEN e <> '' AND {allowed} THEN left(w, pos) || CASE e {new} END ELSE w END AS w FROM {name}b)"""
+
+    short = f"regexp_matches({{}}, '[^{v}][{v}][^{v}wxY]$|^[{v}][^{v}]$')"
+    special = " ".join(f"WHEN term = '{a}' THEN '{b}'" for a, b in M.SPECIAL.items())
+    doubled = " OR ".join(f"suffix(c, '{d}')" for d in M.DOUBLE)
+    return f"""s0 AS (SELECT term, CASE WHEN length(term) <= 2 THEN term {special} WHEN term IN {_list(sorted(M.ALONE))} THEN term END AS own, regexp_replace(term, '(^|[{v}])y', '\\1Y', 'g') AS w FROM ({words})),
+s1 AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)')) WHEN regexp_matches(w, '[{v}][^{v}]') THEN length(regexp_extract(w, '^.*?[{v}][^{v}]')) ELSE length(w) END AS r1 FROM s0),
+s2 AS (SELECT *, CASE WHEN regexp_matches(substring(w, r1 + 1), '[{v}][^{v}]') THEN r1 + length(regexp_extract(substring(w, r1 + 1), '^.*?[{v}][^{v}]')) ELSE length(w) END AS r2 FROM s1),
+s3 AS (SELECT term, own, r1, r2, CASE WHEN suffix(w, 'sses') THEN left(w, -2) WHEN suffix(w, 'ied') OR suffix(w, 'ies') THEN left(w, CASE WHEN length(w) > 4 THEN -2 ELSE -1 END) WHEN suffix(w, 'us') OR suffix(w, 'ss') THEN w WHEN regexp_matches(w, '[{v}].+s$') THEN left(w, -1) ELSE w END AS w FROM s2),
+s4 AS (SELECT term, coalesce(own, CASE WHEN w IN {_list(sorted(M.AFTER_1A))} THEN w END) AS own, r1, r2, w, regexp_extract(w, '(eedly|eed)$', 1) AS d, regexp_extract(w, '^(.*[{v}].*?)(ingly|edly|ing|ed)$', 1) AS c FROM s3),
+s5 AS (SELECT term, own, r1, r2, CASE WHEN d <> '' THEN CASE WHEN length(w) - length(d) >= r1 THEN left(w, length(w) - length(d)) || 'ee' ELSE w END WHEN c = '' THEN w WHEN suffix(c, 'at') OR suffix(c, 'bl') OR suffix(c, 'iz') THEN c || 'e' WHEN {doubled} THEN left(c, -1) WHEN r1 >= length(c) AND {short.format("c")} THEN c || 'e' ELSE c END AS w FROM s4),
+s6 AS (SELECT term, own, r1, r2, CASE WHEN regexp_matches(w, '^.+[^{v}][yY]$') THEN left(w, -1) || 'i' ELSE w END AS w FROM s5),
+{suffixes([e for e, _ in M.STEP2], dict(M.STEP2), "pos >= r1 AND (e <> 'ogi' OR b = 'l') AND (e <> 'li' OR b IN ('c', 'd', 'e', 'g', 'h', 'k', 'm', 'n', 'r', 't'))", "s6", "s7")},
+{suffixes([e for e, _ in M.STEP3], dict(M.STEP3), "pos >= r1 AND (e <> 'ative' OR pos >= r2)", "s7", "s8")},
+{suffixes(M.STEP4, dict.fromkeys(M.STEP4, ""), "pos >= r2 AND (e <> 'ion' OR b IN ('s', 't'))", "s8", "s9")},
+stems AS (SELECT term, coalesce(own, replace(CASE WHEN suffix(w, 'e') AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT {short.format("left(w, -1)")}) OR suffix(w, 'll') AND length(w) - 1 >= r2 THEN left(w, -1) ELSE w END, 'Y', 'y')) AS stem FROM s9)"""
+
+
+def _stemmed(index: str) -> str:
+    """INDEX with stems for terms."""
+    return index.replace("unnest(terms) AS term FROM terms) GROUP BY ALL)", "unnest(terms) AS raw FROM terms) JOIN (SELECT term AS raw, stem AS term FROM stems) USING (raw) GROUP BY ALL)")
+
+
 def oracle_sql() -> dict[str, str]:
     recall = f"{R}{FOUND}, {GOLD}, hits AS (SELECT question_id, path, g_first, g_last, min(rank) AS pos FROM found JOIN gold USING (question_id, path) WHERE {IOU} > 0.05 GROUP BY ALL), per AS (SELECT question_id, k, avg((coalesce(pos, 99) <= k)::INT) AS r FROM gold LEFT JOIN hits USING (question_id, path, g_first, g_last), generate_series(1, 10) AS s(k) GROUP BY ALL) SELECT k::INT AS k, round(avg(r), 6) AS recall, count(*) AS num_questions FROM per GROUP BY k"
     spans = ", ".join(f"({-1 - k}, {a}, {b})" for k, (_, held) in enumerate(fixtures.CODE) for a, b in held)
@@ -408,6 +428,8 @@ def oracle_sql() -> dict[str, str]:
         "file_route": f"WITH {FILES} SELECT {ext} AS ext, {routed} AS route, count(*) AS n FROM files GROUP BY ALL",
         "tokenize_text": f"SELECT doc_id, len({_text('text')}) AS n_tokens, array_to_string({_text('text')}, ' ') AS tokens FROM documents",
         "tokenize_code": f"SELECT doc_id, len({_code('text')}) AS n_tokens, array_to_string({_code('text')}, ' ') AS tokens FROM documents",
+        "stem_terms": f"WITH {QTERMS}, {_stems_sql(f'SELECT term FROM qterms UNION SELECT unnest({_text("text")}) AS term FROM documents')} SELECT term, stem FROM stems",
+        "bm25_stemmed_topk": f"{R}{TERMS}, {QTERMS}, {_stems_sql('SELECT DISTINCT unnest(terms) AS term FROM terms UNION SELECT term FROM qterms')}, {_stemmed(POSTS)}, {BOOSTS}, asked AS (SELECT question_id, stem AS term, count(*) AS qtf FROM qterms JOIN stems USING (term) GROUP BY ALL), boosted AS (SELECT question_id, chunk_id, round(sum(idf * qtf * tf * 3 / (tf + 2 * (0.7 + 0.3 * dl / avgdl))) * any_value(boost), 6) AS score FROM asked JOIN posts USING (term) JOIN idfs USING (term) JOIN boosts USING (chunk_id), stats GROUP BY ALL) {_best('boosted', 5)}",
         "stopword_filter": f"SELECT doc_id, len({_stop(_text('text'))}) AS n_kept, array_to_string({_stop(_text('text'))}, ' ') AS kept FROM documents",
         "query_terms": f"WITH {QTERMS} SELECT question_id, string_agg(term, ' ' ORDER BY term) AS terms FROM qterms GROUP BY question_id",
         "chunk_text": f"{R}{CHUNKS} SELECT doc_id, first::INT AS first, last::INT AS last FROM chunks",
@@ -443,7 +465,6 @@ SELECT id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6
         "cache_hits": f"{KEYS} SELECT question_id, key FROM r WHERE key IN (SELECT '1::' || text FROM benchmark)",
         "cache_misses": f"{KEYS} SELECT question_id, key FROM r WHERE key NOT IN (SELECT '1::' || text FROM benchmark)",
         "chunk_code": f"{R}{CHUNKS} SELECT doc_id, first::INT AS first, last::INT AS last FROM chunks UNION ALL SELECT * FROM (VALUES {spans}) AS v(doc_id, first, last)",
-        "stem_sample": f"SELECT * FROM (VALUES {', '.join(f"('{w}', '{t}')" for w, t in fixtures.STEM_SAMPLE)}) AS v(word, stem)",
         "hybrid_topk": f"{R}{BOOSTED}, c AS (SELECT question_id, e.vec_id AS doc_id, round({DOT.format(a='e.embedding', b='q.embedding')}, 6) AS cosine FROM embeddings e, embeddings q JOIN questions ON q.vec_id = question_id), b AS (SELECT c.question_id, t.chunk_id, coalesce(score, 0) AS score, cosine FROM terms t JOIN c ON doc_id = t.chunk_id >> 32 LEFT JOIN boosted USING (question_id, chunk_id)), ranks AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS x, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) AS y FROM b), f AS (SELECT question_id, chunk_id, round(1.0::DOUBLE / (60 + x) + 1.0::DOUBLE / (60 + y), 9) AS fused FROM ranks) SELECT question_id, rank, chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) AS rank FROM f) WHERE rank <= 10",
         "file_scan": f"SELECT 'data/raw/' || CASE item_id % 6 {places} END AS path, length(text)::INT AS n, md5(text) AS digest FROM benchmark WHERE item_id % 6 <> 5",
         "dataset_scan": f"WITH {FILES}, {QUESTIONS}, {GOLD}, n AS (SELECT question_id, count(*) AS n FROM gold GROUP BY question_id) SELECT (row_number() OVER (ORDER BY question_id) - 1)::INT AS place, question_id, question, coalesce(n, 0)::INT AS n_sources FROM questions LEFT JOIN n USING (question_id)",
