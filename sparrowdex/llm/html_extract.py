@@ -29,6 +29,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("nav footer aside form menu dialog button search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: What a form asks with, beside what is never text.
+CONTROLS = frozenset("button label legend datalist output meter progress".split())
+FORM = frozenset({"form"})
 SECTIONS = frozenset("article main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_ENDS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "legend", "summary", "figcaption"}
@@ -38,51 +41,66 @@ BORDERS = frozenset("table td th button object html body article section div asi
 
 
 class Node:
-    __slots__ = ("tag", "items", "parent", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named")
+    __slots__ = ("tag", "items", "parent", "aside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "mark")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
         self.tag, self.parent, self.aside = tag, parent, aside
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.named = False
-
-
-def is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in ASIDE or tag in RAW or tag == "header" and not in_article:  # the header of an article belongs to it
-        return True
-    for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
-
-
-def is_named(tag: str, attributes: str) -> bool:
-    """Whether the id or a class, as a whole, is the name of an aside."""
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
-    return any(w in WORDS for name, value in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in value.strip("\"'").lower().split())
-
-
-def judge_named(root: Node) -> None:
-    """Makes asides of the elements named so, but for those that hold main, the page's first article or over half of its text out of links."""
-    order, stack = [], [(root, False)]
+        self.mark = ""
+
+
+def aside_of(tag: str, attributes: str, in_article: bool, in_form: bool) -> str:
+    """How an element is an aside: never (empty), always, or unless it holds the article ("part", "concealed", "beside")."""
+    if tag in RAW or tag in CONTROLS and in_form:
+        return "always"
+    if tag in ("html", "body"):
+        return ""
+    found = {name.lower(): value.strip("\"'").lower() for name, value in reversed(ATTRIBUTE.findall(attributes))} if attributes.strip() else {}
+    if tag == "dialog" or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role") in ("dialog", "alert", "alertdialog"):
+        return "concealed"
+    if tag in ("nav", "footer", "aside"):
+        return "beside"
+    if tag in ASIDE or tag == "header" and not in_article or found.get("role") in ROLES:  # the header of an article belongs to it
+        return "part"
+    named = tag not in ("article", "main") and any(w in WORDS for name in ("class", "id") for w in found.get(name, "").split())
+    return "part" if named else ""
+
+
+def judge_asides(root: Node) -> None:
+    """Makes asides of the elements that are marked as such, but for those that hold the article: main or the page's first article, or
+    most of its text out of links, which is over half of it, over four fifths for what is concealed, and never enough for nav, footer and aside,
+    whose text does not count. Beside a marked article or main, it takes thrice that one's text as well."""
+    order, stack = [], [(root, False, False)]
     while stack:
-        node, linked = stack.pop()
-        order.append((node, linked))
-        stack += [(x, linked or x.tag == "a") for x in reversed(node.items) if isinstance(x, Node) and not x.aside]
-    if not any(n.named for n, _ in order):
+        node, linked, within = stack.pop()
+        order.append((node, linked, within := within or bool(node.mark)))
+        stack += [(x, linked or x.tag == "a", within) for x in reversed(node.items) if isinstance(x, Node) and not x.aside]
+    if not any(n.mark for n, _, _ in order):
         return
-    first = next((n for n, _ in order if n.tag == "article"), None)
+    articles = [(within, n) for n, _, within in order if n.tag == "article"]
+    first = next((n for within, n in articles if not within), articles[0][1] if articles else None)
     text: dict[int, int] = {}
     holds: set[int] = set()
-    for node, linked in reversed(order):
+    for node, linked, _ in reversed(order):
         text[id(node)] = sum(text[id(x)] if isinstance(x, Node) else 0 if linked else len(" ".join(x.split())) for x in node.items if not isinstance(x, Node) or not x.aside)
         if node is first or node.tag == "main" or any(id(x) in holds for x in node.items):
             holds.add(id(node))
-    for node, _ in order:
-        node.aside = node.named and id(node) not in holds and 2 * text[id(node)] <= text[id(root)]
+    enough = {"part": 0.5, "concealed": 0.8, "beside": 1.0}
+    inner, stack = set(), [(root, False)]
+    marked = 0
+    while stack:
+        node, counted = stack.pop()
+        if node.mark == "beside" and id(node) not in holds:
+            inner.add(id(node))
+        if not counted and node.tag in ("article", "main") and not node.mark:
+            counted, marked = True, marked + text[id(node)]
+        stack += [(x, counted) for x in node.items if isinstance(x, Node) and not x.aside and not x.mark]
+    whole = text[id(root)] - sum(text[i] for i in inner)
+    for node, _, _ in order:
+        n = text[id(node)]
+        node.aside = bool(node.mark) and id(node) not in holds and (n <= enough[node.mark] * whole or node.mark == "beside" or n < 3 * marked)
 
 
 def tree(page: str) -> Node:
@@ -133,8 +151,9 @@ def tree(page: str) -> Node:
         for tags, borders in ([({"p"}, BORDERS)] if tag in P_ENDS else []) + ([SIBLINGS[tag]] if tag in SIBLINGS else []):
             if (k := last(tags)) and k > last(borders):
                 close(k)
-        node = Node(tag, path[-1], is_aside(tag, m[3], tag != "header" or last(SECTIONS) > 0))
-        node.named = not node.aside and is_named(tag, m[3])
+        node = Node(tag, path[-1])
+        mark = aside_of(tag, m[3], last(SECTIONS) > 0, last(FORM) > 0)
+        node.aside, node.mark = mark == "always", mark if mark != "always" else ""
         path[-1].items.append(node)
         if tag in VERBATIM:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -143,7 +162,7 @@ def tree(page: str) -> Node:
                 at = page.find(">", at) + 1 or n
         elif tag not in VOID and not (m[3].endswith("/") and tag in RAW):
             open_(node)
-    judge_named(root)
+    judge_asides(root)
     return root
 
 
