@@ -9,7 +9,7 @@ all its neighbours between d - r and d + r, and only points in that ring around
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -314,15 +314,53 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return done
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, parts: int = 4, sign_radius: int = 64, searches: int = 4, similarity: float = 0.8, block: int = 256, **tree) -> DataFrame:
+def similar(held: DataFrame, judge: Callable[[pa.Table], pa.Table], block: int, block_bytes: int, pivots: int = 4, rounds: int = 2) -> DataFrame:
+    """Edges (u, v) whose components are those of all similar pairs within the groups of stored sets (node, shingles, label).
+
+    A group of one block is judged whole. Larger ones are dealt into random blocks, each with a few pivots that all blocks of the group
+    share, and so once more those that are not one component yet: a family around a text falls together here, for little more than its own
+    bytes a round. What is left apart after that is held against the whole group in pairs of blocks, so no similar pair is lost; that is quadratic only
+    in sets that are candidates of each other without being similar.
+    """
+    spark = held.sparkSession
+    size = held.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    groups = materialise(size.select("label", "n", blocks.alias("blocks")), "groups")
+    number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    edges = spark.createDataFrame([], "u long, v long")
+    part = lookup(held, groups, "label")
+    for k in range(rounds):
+        is_pivot = F.pmod(F.xxhash64("node", F.lit(100 + k)), F.col("n")) < pivots
+        dealt = part.select("node", "shingles", "label", F.explode(F.when(is_pivot, every(F.col("blocks"))).otherwise(F.array(number(F.col("blocks"), k)))).alias("i"))
+        edges = materialise(edges.unionByName(dealt.groupBy("label", "i").applyInArrow(judge, "u long, v long")), "similar")
+        if groups.where("blocks > 1").isEmpty():
+            return edges
+        joined = components(edges)
+        of_node = held.select("node", "label").join(joined, F.col("node") == F.col("u"), "left").select("node", "label", F.coalesce("v", "node").alias("component"))
+        of_node = materialise(of_node, "components")
+        each = of_node.groupBy("label", "component").agg(F.count("*").alias("m"))
+        most = each.groupBy("label").agg(F.count("*").alias("components"), F.max(F.struct("m", "component")).alias("top")).where("components > 1").select("label", "top")
+        groups = materialise(groups.where("blocks > 1").select("label", "n", "blocks").join(most, "label").select("label", "n", "blocks", F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("apart"), F.col("top.component").alias("top")), "groups")
+        if groups.isEmpty():
+            return edges
+        part = lookup(held, groups, "label").where("blocks is not null")
+    apart = F.col("component") != F.col("top")
+    rest = part.join(of_node.select("node", "component"), "node")
+    whole = rest.select("node", "shingles", "label", F.explode(every(F.col("apart"))).alias("a"), number(F.col("blocks"), 50).alias("b"))
+    others = rest.where(apart).select("node", "shingles", "label", number(F.col("apart"), 51).alias("a"), F.explode(every(F.col("blocks"))).alias("b"))
+    return edges.unionByName(whole.unionByName(others).groupBy("label", "a", "b").applyInArrow(judge, "u long, v long"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, parts: int = 4, sign_radius: int = 64, searches: int = 4, similarity: float = 0.8, block: int = 256, block_bytes: int = 16 << 20, **tree) -> DataFrame:
     """(id, h, label, component): component is the smallest id reachable over near copies, which share at least similarity of their width-word
     shingles; label is the number of the group, h the xxhash64 of the text.
 
     Candidates come from the trees: a search for each of several independent SimHashes of word pairs, each within radius bits, and
     256 bits of SimHash over shingles within sign_radius (sets of Jaccard similarity 0.8 differ in 39 of those on average, with a
     deviation of 6). Among candidates that hang together, every pair is then judged by the exact Jaccard similarity of its sets of
-    shingles. A pair that no search finds and no chain of candidates joins is missed. Groups of over block texts are dealt out by
-    pairs of blocks, so no task holds a large group. Nulls, repeated rows, rows of one id with different texts and texts without
+    shingles, as far as it is not in one component already (similar()). A pair that no search finds and no chain of candidates joins is missed. Groups are
+    dealt out in blocks of about block texts and block_bytes of shingles, so no task holds a large group; a row that is repeated counts once. Nulls, repeated rows, rows of one id with different texts and texts without
     words are handled as by near_duplicates().
     """
     spark = docs.sparkSession
@@ -340,7 +378,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i in range(b.num_rows):
                 key, h = same_set(b.column(1)[i].as_py(), width)
                 if key == b.column(2)[i].as_py() and len(h):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h.tobytes()], pa.binary()), b.column(3).slice(i, 1), b.column(4).slice(i, 1)], names=["node", "shingles", "label", "blocks"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h.tobytes()], pa.binary()), b.column(3).slice(i, 1)], names=["node", "shingles", "label"])
 
     def judge(group: pa.Table) -> pa.Table:
         kept = dict(zip(group.column("node").to_pylist(), group.column("shingles").to_pylist(), strict=True))
@@ -348,20 +386,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         root = node[alike([np.frombuffer(kept[x], "<u8") for x in node.tolist()], similarity)]
         return pa.table({"u": node[node != root], "v": root[node != root]})
 
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    prints = materialise(text.select("id", F.xxhash64("t").alias("h"), "t").mapInArrow(run, "id long, h long, key binary" + "".join(f", {x} long" for x in fps) + ", sign binary"), "prints")
-    # Each distinct set of shingles is a node, numbered once and for all by being stored.
-    nodes = materialise(prints.groupBy("key", *fps, "sign").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    prints = materialise(text.select("id", "h", "t").mapInArrow(run, "id long, h long, key binary" + "".join(f", {x} long" for x in fps) + ", sign binary"), "prints")
+    # Each distinct set of shingles is a node, numbered once and for all by being stored, with one row's text for it.
+    nodes = materialise(prints.groupBy("key", *fps, "sign").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("row")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One search after another, so that only one holds memory.
     found = [materialise(near_edges(nodes.select(F.col(x).alias("fp"), "node", "sign"), radius, parts, sign_radius=sign_radius, **tree), "candidates") for x in fps]
     tied = components(reduce(DataFrame.unionByName, found))
     tied = tied.unionByName(tied.select(F.col("v").alias("u"), "v")).distinct()
-    sizes = tied.groupBy("v").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = nodes.where("id is not null").select("node", "id", "key").join(tied.join(sizes, "v"), F.col("node") == F.col("u")).select("node", "id", "key", F.col("v").alias("label"), "blocks")
-    held = text.join(asked, "id").select("node", "t", "key", "label", "blocks").mapInArrow(sets, "node long, shingles binary, label long, blocks int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
-    label = components(dealt.groupBy("label", "i", "j").applyInArrow(judge, "u long, v long"))
+    asked = nodes.where("id is not null").select("node", "key", "row.id", "row.h").join(tied, F.col("node") == F.col("u")).select("node", "id", "h", "key", F.col("v").alias("label"))
+    # Copies of a row are one row before they leave their task.
+    texts = text.join(asked, ["id", "h"]).groupBy("node").agg(F.first("t").alias("t"), F.first("key").alias("key"), F.first("label").alias("label"))
+    held = materialise(texts.select("node", "t", "key", "label").mapInArrow(sets, "node long, shingles binary, label long"), "shingles")
+    label = components(similar(held, judge, block, block_bytes))
     named = materialise(named_by_least(nodes.select("node", "id", "key"), label).select("key", "label", "component"), "named")
     return lookup(prints.select("id", "h", "key"), named, "key").select("id", "h", "label", "component")
 
