@@ -55,22 +55,28 @@ def grown(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.uint64) << shift, first).astype(np.int64) if len(last) else np.zeros(0, np.int64)
 
 
-def shard_rows(number: int, docs: list[tuple[int | None, list[bytes]]]) -> pa.RecordBatch:
+class Counts:
+    """Documents' terms as numbers, and how often each has them: a shard's documents while it fills."""
+
+    def __init__(self):
+        self.number_of: dict[bytes, int] = {}
+        self.docs: list[tuple[int | None, int, array, array]] = []
+
+    def add(self, key: int | None, words: list[bytes]) -> None:
+        seen, n = Counter(words), self.number_of
+        self.docs.append((key, len(words), array("i", [n.setdefault(w, len(n)) for w in seen]), array("i", seen.values())))
+
+
+def shard_rows(number: int, counts: Counts) -> pa.RecordBatch:
     """A shard of documents that have terms: a row of null term with their ids and lengths, then a row for each term in order."""
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    number_of: dict[bytes, int] = {}
-    held, tf, count = array("q"), array("q"), []
-    for _, words in docs:
-        seen = Counter(words)
-        held.extend([number_of.setdefault(w, len(number_of)) for w in seen])
-        tf.extend(seen.values())
-        count.append(len(seen))
+    docs, number_of = sorted(counts.docs, key=lambda d: (d[0] is None, d[0] or 0)), counts.number_of
+    count = [len(t) for _, _, t, _ in docs]
     names = sorted(number_of)
     rank = np.empty(len(names), np.int64)
     rank[[number_of[w] for w in names]] = np.arange(len(names))
-    term = rank[np.frombuffer(held, np.int64)]
+    term = rank[np.concatenate([np.frombuffer(t, np.int32) for _, _, t, _ in docs])]
     order = np.argsort(term, kind="stable")
-    term, doc, times = term[order], np.repeat(np.arange(len(docs)), count)[order], np.frombuffer(tf, np.int64)[order]
+    term, doc, times = term[order], np.repeat(np.arange(len(docs)), count)[order], np.concatenate([np.frombuffer(t, np.int32) for _, _, _, t in docs]).astype(np.int64)[order]
     df = np.bincount(term, minlength=len(names))
     first = np.cumsum(df) - df
     gap = np.diff(doc, prepend=0)
@@ -82,7 +88,7 @@ def shard_rows(number: int, docs: list[tuple[int | None, list[bytes]]]) -> pa.Re
     data, end = shrunk(values)
     cut = np.concatenate([[0], end[2 * (first + df) - 1]])
     lists = [data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    ids = np.array([[i or 0, i is None, len(words)] for i, words in docs], "<i8")
+    ids = np.array([[i or 0, i is None, n] for i, n, _, _ in docs], "<i8")
     columns = [[number] * (1 + len(names)), [None, *(w.decode() for w in names)], [len(docs), *df.tolist()], [int(ids[:, 2].sum()), *np.add.reduceat(times, first).tolist()], [ids.tobytes(), *lists]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SHARD.types, strict=True)], schema=_SHARD)
 
@@ -93,17 +99,17 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, size = TaskContext.get().partitionId() << 32, Counts(), 0
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if words := terms_of(text.as_py()):
                     n = len(text.as_buffer())
-                    if held and size + n > shard_bytes:
+                    if size and size + n > shard_bytes:
                         yield shard_rows(number, held)
-                        number, held, size = number + 1, [], 0
-                    held.append((key, words))
+                        number, held, size = number + 1, Counts(), 0
+                    held.add(key, words)
                     size += n
-        if held:
+        if held.docs:
             yield shard_rows(number, held)
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, SHARD)
