@@ -52,10 +52,6 @@ def query_terms(question: Column) -> Column:
     return without_stop_words(F.array_distinct(F.concat(code_tokens(question), text_tokens(question))))
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
-
-
 def piece(text: Column, first: Column, last: Column) -> Column:
     """Characters first to last, half open."""
     return F.substring(text, first + 1, last - first)

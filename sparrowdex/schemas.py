@@ -5,8 +5,5 @@ QUESTION = f"struct<question_id:string,question:string,sources:array<{SPAN}>,ans
 DATASET = f"rag_questions array<{QUESTION}>"
 RESULT = f"struct<question_id:string,question:string,retrieved_sources:array<{SPAN}>,answer:string>"
 RESULTS = f"search_results array<{RESULT}>, k int"
-CHUNKS = "chunk_id long, file_path string, first int, last int, text string"
-VECTORS = "chunk_id long, embedding array<float>"
 SEARCH_CACHE = f"key string, sources array<{SPAN}>"
 ANSWER_CACHE = f"key string, sources array<{SPAN}>, answer string"
-EMBEDDING_INFO = "model_name string, max_length int, stride int, pooling string, window_aggregation string, normalized boolean, num_chunks long, dimension int"

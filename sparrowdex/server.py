@@ -7,6 +7,9 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 from sparrowdex import validate
 from sparrowdex.engine import Engine
 
@@ -74,6 +77,8 @@ def make(engine: Engine, host: str = "127.0.0.1", port: int = 8000, hybrid: bool
                 code, out = 422, {"detail": str(e)}
             except (ValueError, OSError) as e:
                 code, out = 400, {"detail": str(e)}
+            except (PySparkException, Py4JError) as e:
+                code, out = 500, {"detail": str(e)[:500]}
             data = json.dumps(out, ensure_ascii=False).encode()
             self.send_response(code)
             self.send_header("Content-Type", "application/json")

@@ -237,3 +237,25 @@ def test_a_sentence_model_sees_windows(spark, tmp_path, monkeypatch):
     got = [encode.window_mean(v, 0, 0) for v in make()([" ".join(f"w{i - 1}" for i in ids), "w3"])]
     assert make.name == tmp_path.name and np.allclose(got[0], encode.window_mean(table[ids], 256, 32), atol=1e-6)
     assert np.allclose(got[1], table[4] / np.linalg.norm(table[4]), atol=1e-6)
+
+
+def test_a_spark_error_is_answered(world, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    from sparrowdex.server import make
+
+    def lost(*args, **more):
+        raise AnalysisException("a table is gone")
+
+    engine = world[1]
+    monkeypatch.setattr(engine, "search", lost)
+    monkeypatch.setattr(engine, "nested", lost)
+    server = make(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}/search", json.dumps({"query": "tokenizer"}).encode()))
+        assert e.value.code == 500 and "gone" in json.loads(e.value.read())["detail"]
+    finally:
+        server.shutdown()
+        server.server_close()
