@@ -11,9 +11,10 @@ from sparrowdex.functions import stem as M
 from sparrowdex.functions import text as X
 from sparrowdex.functions.stem import with_stems
 from sparrowdex.operators import answer, chunking, encode, evaluate, index, rank
+from sparrowdex.operators.order import numbered
 from sparrowdex.plans import fixtures
 from sparrowdex.sources import corpus, tables
-from sparrowdex.storage import drop_path, materialise, shared_path, stored, version, write_text
+from sparrowdex.storage import drop_path, materialise, shared_path, stored, version
 
 
 #: Indexes by application, version of the table and whether terms are stemmed.
@@ -269,45 +270,51 @@ def dataset_json_roundtrip(i):
 
 
 def file_scan(i):
-    """The benchmark's texts written as files under odd names and read as a corpus."""
+    """The benchmark's texts written by executors as files under odd names and read as a corpus."""
     root = shared_path(i.spark, "corpus")
-    for r in i.questions.collect():  # a stated set of files
-        write_text(i.spark, f"{root}/{fixtures.PLACES[r.question_id % 6].format(r.question_id)}", r.question)
+    named = [F.concat(F.lit(before), F.col("question_id").cast("string"), F.lit(after)) for before, _, after in (p.partition("{}") for p in fixtures.PLACES)]
+    place = F.get(F.array(*named), (F.col("question_id") % len(named)).cast("int"))
+    corpus.write_files(i.questions.select(place.alias("path"), F.col("question").alias("text")), root)
     return corpus.files(i.spark, root).select("path", F.length("text").alias("n"), F.md5(F.col("text")).alias("digest"))
 
 
-def _dataset_file(i) -> str:
-    """A dataset file of the benchmark's questions with their gold spans."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """Questions with their place from 0 in the order of their numbers, which become text."""
+    rows = numbered(rows, [F.col("question_id")], "place").withColumn("place", F.col("place") - 1)
+    return rows.withColumn("question_id", F.col("question_id").cast("string"))
+
+
+def _dataset_folder(i) -> str:
+    """A dataset of the benchmark's questions with their gold spans, written and read by executors."""
     span = F.struct(F.col("path").alias("file_path"), F.col("g_first").alias("first_character_index"), F.col("g_last").alias("last_character_index"))
     gold = i.gold.groupBy("question_id").agg(F.array_sort(F.collect_list(span)).alias("sources"))
-    rows = i.questions.join(gold, "question_id", "left").orderBy("question_id").select(F.col("question_id").cast("string").alias("question_id"), "question", "sources")
     path = shared_path(i.spark, "dataset")
-    write_text(i.spark, path, corpus.document(rows, "rag_questions"))
+    corpus.write_lines(_placed(i.questions.join(gold, "question_id", "left").select("question_id", "question", "sources")), path)
     return path
 
 
-def _results_file(i) -> str:
-    ix, scored = bm25(i, True)
-    nested = rank.results(rank.best(scored, 10), ix.chunks)
-    rows = i.questions.join(nested, "question_id", "left").orderBy("question_id").select(F.col("question_id").cast("string").alias("question_id"), "question", "retrieved_sources")
+def _results_folder(i) -> str:
+    ix = i.index()
+    top = rank.small(rank.top(ix, rank.small(rank.question_terms(i.questions)), 10, True))
+    nested = rank.results(top, ix.chunks)
     path = shared_path(i.spark, "results")
-    write_text(i.spark, path, corpus.document(rows, "search_results", k=10))
+    corpus.write_lines(_placed(i.questions.join(nested, "question_id", "left").select("question_id", "question", "retrieved_sources")), path, k=10)
     return path
 
 
 def dataset_scan(i):
-    rows = corpus.dataset(i.spark, _dataset_file(i))
-    return rows.select("place", F.col("question_id").cast("long").alias("question_id"), "question", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))
+    rows = corpus.dataset(i.spark, _dataset_folder(i))
+    return rows.select(F.col("place").cast("int").alias("place"), F.col("question_id").cast("long").alias("question_id"), "question", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))
 
 
 def results_scan(i):
-    rows, k = corpus.results(i.spark, _results_file(i))
-    return rows.where("rank is not null").select("place", F.col("question_id").cast("long").alias("question_id"), "rank", "path", "first", "last", F.lit(k).alias("k"))
+    rows, k = corpus.results(i.spark, _results_folder(i))
+    return rows.where("rank is not null").select(F.col("place").cast("int").alias("place"), F.col("question_id").cast("long").alias("question_id"), "rank", "path", "first", "last", F.lit(k).alias("k"))
 
 
 def recall_from_files(i):
     """The evaluation of a results file against a dataset file, whose questions meet by their text."""
-    return engine.recall_of(corpus.results(i.spark, _results_file(i))[0], corpus.dataset(i.spark, _dataset_file(i)), 10)
+    return engine.recall_of(corpus.results(i.spark, _results_folder(i))[0], corpus.dataset(i.spark, _dataset_folder(i)), 10)
 
 
 QUERIES = {

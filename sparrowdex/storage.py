@@ -103,6 +103,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path in full, with its scheme."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where there is no folder."""
     fs, p = _at(spark, path)

@@ -85,3 +85,33 @@ def test_text_spans():
         text = "".join(rng.choice("ab\n" if rng.random() < 0.1 else "abcdef") for _ in range(rng.choice([0, 1, 19, 20, 21, 300, 2000])))
         most = rng.choice([20, 200, 800])
         assert list(text_spans(text, most)) == slow_windows(text, most)
+
+
+def test_files_written_by_tasks_are_read_back(spark, tmp_path):
+    names = [f"{d}/f{n}{e}" for n, (d, e) in enumerate([("a b%20", ".md"), ("_x", ".txt"), (".y/z", ".py"), ("é#", ".rst")] * 25)]
+    rows = spark.createDataFrame([(n, "" if k % 10 == 0 else f"text é {k}\n") for k, n in enumerate(names)] + [("empty.md", None)], "path string, text string").repartition(7)
+    root = str(tmp_path / "made")
+    assert corpus.write_files(rows, root) == 101
+    assert corpus.write_files(rows, root) == 101  # as a task that runs again
+    assert {r.path: r.text for r in corpus.files(spark, root, "p").collect()} == {"p/" + r.path: r.text or "" for r in rows.collect()}
+    assert corpus.write_files(rows.limit(0), str(tmp_path / "none")) == 0
+    with pytest.raises(Exception, match="no path"):
+        corpus.write_files(spark.createDataFrame([(None, "x")], "path string, text string"), root)
+
+
+def test_folders_of_lines_equal_documents(spark, tmp_path):
+    span = [{"file_path": "a.md", "first_character_index": 1, "last_character_index": 9}]
+    asked = spark.createDataFrame([(n, f"q{n}", f"line\n\"{n}\" é", span * (n % 3)) for n in range(300)], "place long, question_id string, question string, sources array<struct<file_path:string,first_character_index:int,last_character_index:int>>").repartition(5)
+    corpus.write_lines(asked, str(tmp_path / "d"))
+    corpus.write_document(asked.orderBy("place").drop("place"), "rag_questions", str(tmp_path / "d.json"))
+    held = [sorted(map(tuple, corpus.dataset(spark, str(tmp_path / n)).collect())) for n in ("d", "d.json")]
+    assert held[0] == held[1] and len(held[0]) == 300
+    found = asked.withColumnRenamed("sources", "retrieved_sources")
+    corpus.write_lines(found, str(tmp_path / "r"), k=7)
+    corpus.write_document(found.orderBy("place").drop("place"), "search_results", str(tmp_path / "r.json"), k=7)
+    (a, ka), (b, kb) = (corpus.results(spark, str(tmp_path / n)) for n in ("r", "r.json"))
+    order = lambda rows: sorted(map(str, rows.collect()))
+    assert ka == kb == 7 and order(a) == order(b) and a.where("rank is null").count() == 100
+    assert a.rdd.getNumPartitions() > 1
+    corpus.write_lines(asked.limit(0), str(tmp_path / "e"))
+    assert corpus.dataset(spark, str(tmp_path / "e")).count() == 0 and corpus.results(spark, str(tmp_path / "e"))[1] == 0
