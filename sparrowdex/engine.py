@@ -23,7 +23,7 @@ from sparrowdex.operators import answer as answers
 from sparrowdex.operators import chunking, encode, evaluate, index, rank
 from sparrowdex.operators.order import numbered
 from sparrowdex.sources import corpus
-from sparrowdex.storage import children, drop_path, exists, materialise, read_text, write_text
+from sparrowdex.storage import children, drop_path, exists, is_folder, materialise, qualified, read_text, write_text
 
 CURRENT, PREFIX = "CURRENT", "index-"
 
@@ -162,12 +162,31 @@ class Engine:
         return questions.join(self.nested(questions.select("question_id", "question"), validate.count(k), hybrid), "question_id", "left")
 
     def search_dataset(self, dataset_path: str, k: int = 5, save_directory: str = "data/output/search_results", hybrid: bool = False) -> str:
-        """Search every question of a dataset file; the path of the results file, which has the dataset's name."""
-        out = validate.output(dataset_path, save_directory)
+        """Search every question of a dataset; the path of the results, which have the dataset's name: a document for one, a folder of JSON lines for a folder."""
+        out = self._output(dataset_path, save_directory)
         asked = materialise(corpus.dataset(self.spark, dataset_path).select("place", "question_id", "question"), "questions")
-        rows = self.search_batch(asked, k, hybrid).orderBy("place").drop("place")
-        corpus.write_document(rows, "search_results", str(out), k=k)
-        return str(out)
+        return self._save(self.search_batch(asked, k, hybrid), out, dataset_path, k)
+
+    def _is_folder(self, path: object) -> bool:
+        return isinstance(path, str) and bool(path.strip()) and is_folder(self.spark, path)
+
+    def _output(self, source: str, folder: str, what: str = "dataset") -> str:
+        """Where results for a document or a folder of lines go."""
+        if not self._is_folder(source):
+            return str(validate.output(source, folder, what))
+        validate.save_folder(folder)
+        full, to = qualified(self.spark, source), qualified(self.spark, folder)
+        if full.rpartition("/")[0] == to:
+            raise ValueError(f"the save directory cannot be that of the {what}, which would be overwritten")
+        return f"{to}/{full.rpartition('/')[2]}"
+
+    def _save(self, rows: DataFrame, out: str, source: str, k: int) -> str:
+        """rows written in the form of their source; only a document passes through the driver. A folder of lines of that name is replaced."""
+        if is_folder(self.spark, source):
+            corpus.write_lines(materialise(rows, "lines"), out, k)
+        else:
+            corpus.write_document(rows.orderBy("place").drop("place"), "search_results", out, k=k)
+        return out
 
     # -- answers
 
@@ -197,20 +216,21 @@ class Engine:
         return kept.join(made.select(F.col("question_id").alias("place"), "answer"), "place")
 
     def answer_dataset(self, results_path: str, save_directory: str = "data/output/answers", cached: bool = False) -> str:
-        """Answer every question of a results file from its first sources, at most three and no more than the first question has; the path of the answers file."""
-        out = validate.output(results_path, save_directory, "results file")
+        """Answer every question of results from its first sources, at most three and no more than the first question has; the path of the answers, in the results' form."""
+        out = self._output(results_path, save_directory, "results file")
         rows, k = corpus.results(self.spark, results_path)
         first = rows.where("place = 0").agg(F.max("rank").alias("n")).first()["n"] or 0
-        made = self.answer_batch(materialise(rows, "results"), min(answers.MOST_SOURCES, first), cached).orderBy("place").drop("place")
-        corpus.write_document(made, "search_results", str(out), k=k)
-        return str(out)
+        return self._save(self.answer_batch(materialise(rows, "results"), min(answers.MOST_SOURCES, first), cached), out, results_path, k)
 
     # -- evaluation
 
     def evaluate(self, results_path: str, dataset_path: str, k: int = 10) -> DataFrame:
-        """(k, recall, num_questions) for 1..k, k no more than the sources of the first question. Questions meet by their text; those without gold spans are left out."""
+        """(k, recall, num_questions) for 1..k, of two documents or two folders of lines, k no more than the sources of the first question. Questions meet by their text; those without gold spans are left out."""
         validate.count(k)
-        validate.other_files(results_path, dataset_path)
+        if not (self._is_folder(results_path) and self._is_folder(dataset_path)):
+            validate.other_files(results_path, dataset_path)
+        elif qualified(self.spark, results_path) == qualified(self.spark, dataset_path):
+            raise ValueError("the results and the dataset must be different folders")
         rows, _ = corpus.results(self.spark, results_path)
         return recall_of(rows, corpus.dataset(self.spark, dataset_path), k)
 

@@ -246,7 +246,7 @@ def cache_split(hit: bool):
 
 
 def chunk_code(i):
-    """Fixtures that are source, and the documents, of which those named .py do not parse and are cut like text."""
+    """Fixtures that are source, and the documents, of which those named .py are prose and are cut like text."""
     docs = tables.files(i.table("documents"))
     source = i.spark.createDataFrame([(-1 - k, f"fixture{k}.py", text) for k, (text, _) in enumerate(fixtures.CODE)], "doc_id long, path string, text string")
     return chunking.chunk(docs.unionByName(source)).select("doc_id", "first", "last")

@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 
 from sparrowdex import validate
 from sparrowdex.engine import Engine
+from sparrowdex.storage import is_folder, temporaries
 
 MOST_BODY = 1 << 20
 
@@ -43,6 +44,13 @@ def make(engine: Engine, host: str = "127.0.0.1", port: int = 8000, hybrid: bool
     """GET / and /health, POST /search, /answer, /search_dataset and /answer_dataset; answers are made one at a time. Port 0 takes any free one."""
     generating = threading.Lock()
 
+    def saved(path):
+        """A document's content; a folder of lines, which may be large, only by its name."""
+        if is_folder(engine.spark, path):
+            return {"saved": path}
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
     def search(h, query):
         q, k = body_of(h)
         rows = engine.search(q, k, hybrid).collect()
@@ -57,13 +65,12 @@ def make(engine: Engine, host: str = "127.0.0.1", port: int = 8000, hybrid: bool
         path, k, folder = parameters(query, "dataset_path", "k", "save_directory")
         if not k.isdecimal():
             raise Refused("k must be an integer")
-        with open(engine.search_dataset(path, int(k), folder, hybrid), encoding="utf-8") as f:
-            return json.load(f)
+        return saved(engine.search_dataset(path, int(k), folder, hybrid))
 
     def answer_dataset(h, query):
         path, folder = parameters(query, "student_search_results_path", "save_directory")
-        with generating, open(engine.answer_dataset(path, folder, hybrid), encoding="utf-8") as f:
-            return json.load(f)
+        with generating:
+            return saved(engine.answer_dataset(path, folder, hybrid))
 
     routes = {("GET", "/"): lambda h, q: "ready", ("GET", "/health"): lambda h, q: {"status": "ok"}, ("POST", "/search"): search, ("POST", "/answer"): answer, ("POST", "/search_dataset"): search_dataset, ("POST", "/answer_dataset"): answer_dataset}
 
@@ -72,7 +79,8 @@ def make(engine: Engine, host: str = "127.0.0.1", port: int = 8000, hybrid: bool
             url = urlsplit(self.path)
             known = routes.get((self.command, url.path))
             try:
-                code, out = (200, known(self, url.query)) if known else (405 if any(p == url.path for _, p in routes) else 404, {"detail": "no such resource"})
+                with temporaries(engine.spark):
+                    code, out = (200, known(self, url.query)) if known else (405 if any(p == url.path for _, p in routes) else 404, {"detail": "no such resource"})
             except Refused as e:
                 code, out = 422, {"detail": str(e)}
             except (ValueError, OSError) as e:

@@ -133,8 +133,8 @@ def results(spark, path: str) -> tuple[DataFrame, int]:
 
 
 def write_lines(rows: DataFrame, path: str, k: int | None = None) -> None:
-    """rows (place, question_id, question, ...) as a folder of JSON lines that dataset() and results() read: written by executors, whatever their number."""
-    rows.select("place", F.lit(k).cast("int").alias("k"), F.struct(*(c for c in rows.columns if c != "place")).alias("q")).write.json(path)
+    """rows (place, question_id, question, ...) as a folder of JSON lines that dataset() and results() read: written by executors, whatever their number. An earlier folder is replaced."""
+    rows.select("place", F.lit(k).cast("int").alias("k"), F.struct(*(c for c in rows.columns if c != "place")).alias("q")).write.mode("overwrite").json(path)
 
 
 def document(rows: DataFrame, name: str, **more) -> str:

@@ -8,6 +8,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 #: Folders of applications that are already marked to be deleted at their end.
 _marked: set[str] = set()
+#: Places named within temporaries(), of one thread.
+_named: ContextVar[list[str] | None] = ContextVar("_named", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,7 +52,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
         fs.mkdirs(p)
         fs.deleteOnExit(p)
         _marked.add(own)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    if (named := _named.get()) is not None:
+        named.append(path)
+    return path
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Within it, whatever shared_path names is deleted at the end, so what reads such tables must be computed before."""
+    named: list[str] = []
+    token = _named.set(named)
+    try:
+        yield
+    finally:
+        _named.reset(token)
+        for path in named:
+            drop_path(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

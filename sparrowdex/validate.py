@@ -60,11 +60,16 @@ def other_files(a: object, b: object) -> tuple[Path, Path]:
     return results, dataset
 
 
+def save_folder(value: object) -> str:
+    if not isinstance(value, str) or not value.strip():
+        raise ValueError("the save directory must be a path")
+    return value
+
+
 def output(source: object, folder: object, what: str = "dataset") -> Path:
     """Where results for a file go: under its name in folder, which is made if need be and cannot be the file's own."""
     path = file(source, what)
-    if not isinstance(folder, str) or not folder.strip():
-        raise ValueError("the save directory must be a path")
+    save_folder(folder)
     if path.resolve().parent == Path(folder).resolve():
         raise ValueError(f"the save directory cannot be that of the {what}, which would be overwritten")
     Path(folder).mkdir(parents=True, exist_ok=True)

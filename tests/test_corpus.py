@@ -1,11 +1,16 @@
 """Files as a source: every name, relative roots, counts; spans of code and text by hand and by a slow reading of the rule."""
 
+import importlib
+import inspect
 import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import Observation
 
+from sparrowdex.operators import chunking
 from sparrowdex.operators.chunking import code_spans, text_spans
 from sparrowdex.sources import corpus
 
@@ -52,12 +57,40 @@ def test_an_unreadable_cache_is_empty(spark, tmp_path):
         ("from __future__ import annotations\nimport a\n", ["from __future__ import annotations", "import a"]),
         ("é = 'é'; b = 2\r\nc = 3", ["é = 'é'", "b = 2", "c = 3"]),
         ("", []),
+        ("import a\nx = [1,\n2\ndef g():\n    return '''abc\n\nclass K(object):\n    pass\n", ["import a", "x = [1,\n2", "def g():\n    return '''abc", "class K(object):\n    pass"]),
+        ("@d\n@e(1)\ndef f():\n  exec 'x'\nif x:\n  y\nelse:\n  z\ntry:\n  raise E, 'x'\nexcept E, e:\n  pass\n# c\n", ["@d\n@e(1)\ndef f():\n  exec 'x'", "if x:\n  y\nelse:\n  z", "try:\n  raise E, 'x'\nexcept E, e:\n  pass", "# c"]),
+        ("  odd = 1\r\nimport b\r\n)\r\nz = 'é\r\ny = 2", ["odd = 1", "import b", ")", "z = 'é", "y = 2"]),
+        ("s = '''doc\ndef no(): pass\n'''\nx = = 2\nf(a,\n  b)\n\0\n", ["s = '''doc\ndef no(): pass\n'''", "x = = 2", "f(a,\n  b)", "\0"]),
+        ("words of prose\nand more of it\n", ["words of prose\nand more of it\n"]),
+        ('{"a": 1}\n{"b" 2}\n', ['{"a": 1}\n{"b" 2}\n']),
     ],
 )
 def test_code_spans(source, parts):
     assert sorted(source[a:b] for a, b in code_spans(source, 800)) == sorted(parts)
 
 
+@pytest.mark.parametrize("module", ["argparse", "textwrap", "tokenize", "dataclasses", "bisect", "heapq", "shlex", "copy", "csv", "enum"])
+def test_a_broken_statement_leaves_the_others_whole(module):
+    """Modules that parse: the splitter finds the parser's nodes, and those on either side of a statement that does not parse stay as they are."""
+    source = inspect.getsource(importlib.import_module(module))
+    nodes = chunking._nodes(source)
+    assert chunking._recovered(source) == nodes
+    rng = random.Random(len(source))
+    for broken in ("x = = 1\n", "print 'a'\n", "def f(:\n    y = (1,\n", "class A(object:\n    pass\n"):
+        at = rng.choice([m.start() for m in re.finditer(r"^(?=def |class |import )", source, re.M) if any(a == m.start() for a, _, _ in nodes)])
+        n, end = len(broken), at + len(broken.rstrip())
+        want = [x for x in nodes if x[1] <= at] + [(at, end, False)] + [(a + n, b + n, i) for a, b, i in nodes if a >= at]
+        assert chunking._recovered(source[:at] + broken + source[at:]) == want
+
+
+def test_broken_code_takes_linear_time():
+    start = time.monotonic()
+    for text in ("\\\"\"\"" * 100_000 + "\nimport os\nx = = 1", "def f(:\n" * 20_000, "(\n" * 100_000 + "import os\n", "x = = 1\n# c\n" * 10_000, "import os\nx == \n" + "# c\n" * 30_000):
+        spans = list(code_spans(text))
+        assert all(0 <= a < b <= len(text) for a, b in spans)
+    assert time.monotonic() - start < 60
+
+
 def test_long_code_is_cut_without_loss():
     body = "x" * 7 + "\n" + "y" * 8 + "\n" + "z" * 8
     assert list(code_spans(f"'{body[1:]}", 10)) == list(text_spans(f"'{body[1:]}", 10))  # does not parse

@@ -10,12 +10,13 @@ import numpy as np
 import pytest
 
 from sparrowdex import __main__ as cli
-from sparrowdex import validate
+from sparrowdex import storage, validate
 from sparrowdex.engine import Engine
 from sparrowdex.functions.stem import stem
 from sparrowdex.functions.text import STOP_WORDS
 from sparrowdex.operators import encode, rank
 from sparrowdex.operators.order import numbered
+from sparrowdex.sources import corpus
 from pyspark.sql import functions as F
 
 TOPICS = ["scheduler queue priority preemption", "tokenizer vocabulary merges bytes", "cache block eviction paging", "attention kernel softmax tiles"]
@@ -117,6 +118,27 @@ def test_dataset_search_answers_and_recall(world):
     assert [(r.k, r.recall, r.num_questions) for r in report] == [(k, 0.5 * (at < k), 2) for k in range(1, 5)]
 
 
+def test_folders_of_lines_give_what_documents_give(spark, world):
+    base, engine = world
+    asked = dataset(base, engine)
+    folder = str(base / "lines" / "asked")
+    corpus.write_lines(corpus.dataset(spark, asked).repartition(3), folder)
+    out, out_lines = engine.search_dataset(asked, 4, str(base / "r1")), engine.search_dataset(folder, 4, str(base / "r2"))
+    read = [corpus.results(spark, p) for p in (out, out_lines)]
+    held = [sorted((r.place, r.question, r.path, r["first"], r["last"], r["rank"]) for r in rows.collect()) for rows, _ in read]
+    assert out_lines.endswith("/r2/asked") and held[0] == held[1] and len(held[0]) == 12 and read[0][1] == read[1][1] == 4
+    assert engine.search_dataset(folder, 4, str(base / "r2")) == out_lines  # replaces
+    answered = [engine.answer_dataset(p, str(base / to)) for p, to in ((out, "a1"), (out_lines, "a2"))]
+    doc = {r["question"]: r["answer"] for r in json.loads(open(answered[0], encoding="utf-8").read())["search_results"]}
+    assert {r.q.question: r.q.answer for r in spark.read.json(answered[1]).collect()} == doc and len(doc) == 3
+    with pytest.warns(UserWarning, match="k is 4"):
+        assert engine.evaluate(out_lines, folder).collect() == engine.evaluate(out, asked).collect()
+    with pytest.raises(ValueError, match="different"):
+        engine.evaluate(folder, folder)
+    with pytest.raises(ValueError, match="overwritten"):
+        engine.search_dataset(folder, 4, str(base / "lines"))
+
+
 def test_evaluation_of_nothing_is_zero(world):
     base, engine = world
     empty, asked = base / "empty.json", dataset(base, engine)
@@ -168,17 +190,35 @@ def test_http(world):
 
     try:
         assert call("/health") == (200, {"status": "ok"})
+        own = f"{storage.shared_dir(engine.spark)}/sparrowdex/{engine.spark.sparkContext.applicationId}"
+        before = storage.children(engine.spark, own)
         code, out = call("/search", {"query": " scheduler queue ", "k": 2})
         assert code == 200 and out["question"] == "scheduler queue" and len(out["sources"]) == 2
         assert call("/search", {"query": "  "})[0] == 422 and call("/search", {"query": "x", "k": 11})[0] == 422
         assert call("/answer", {"query": "attention softmax"})[1]["answer"].startswith("Line")
         assert call("/nowhere")[0] == 404 and call("/search_dataset?k=2", {})[0] == 422
         assert call("/search_dataset?k=2&dataset_path=none&save_directory=x", {})[0] == 400
+        assert len(before) and storage.children(engine.spark, own) == before
     finally:
         server.shutdown()
         server.server_close()
 
 
+def test_hybrid_requests_leave_no_tables(spark, world):
+    _, engine = world
+    own = f"{storage.shared_dir(spark)}/sparrowdex/{spark.sparkContext.applicationId}"
+    before = storage.children(spark, own)
+    for n in range(2):
+        with storage.temporaries(spark):
+            assert engine.search(f"scheduler queue {n}", 2, hybrid=True).count() == 2
+            assert len(storage.children(spark, own)) > len(before)
+    assert storage.children(spark, own) == before
+    with pytest.raises(ZeroDivisionError), storage.temporaries(spark):
+        storage.materialise(spark.range(3), "rows")
+        1 / 0
+    assert storage.children(spark, own) == before
+
+
 def test_checks(tmp_path):
     with pytest.warns(UserWarning):
         assert validate.chunk_size(100) == 800
