@@ -49,6 +49,7 @@ class Engine:
         if self.seen["unreadable"]:
             warnings.warn(f"{self.seen['unreadable']} files are not UTF-8 and were left out", stacklevel=2)
         files = self.spark.read.parquet(f"{at}/files")
+        answers.write_blocks(files, f"{at}/text_blocks")
         chunks = chunking.chunk(files.withColumn("doc_id", F.lit(0)), most=size).drop("doc_id")
         order = [F.col("path").endswith(".py").desc(), F.col("path"), F.col("first"), F.col("last")]
         ordered = numbered(index.chunk_terms(chunks), order, "chunk_id").withColumn("chunk_id", F.col("chunk_id") - 1)
@@ -93,12 +94,6 @@ class Engine:
             raise FileNotFoundError(f"the index has no {name}; index the corpus with embeddings" if name == "vectors" else f"the index has no {name}")
         return self.spark.read.parquet(f"{at}/{name}")
 
-    def files_of(self, found: DataFrame, most: int = 1000) -> DataFrame:
-        """The indexed files, only those that found names where they are no more than most: the scan then skips row groups without one."""
-        paths = [r["path"] for r in found.select("path").distinct().limit(most + 1).collect()]
-        files = self.table("files")
-        return files if len(paths) > most else files.where(F.col("path").isin(*paths) if paths else F.lit(False))
-
     # -- search
 
     def found(self, questions: DataFrame, k: int, hybrid: bool = False) -> DataFrame:
@@ -193,14 +188,14 @@ class Engine:
     def answer(self, query: str, k: int = 3, hybrid: bool = False) -> str:
         asked = self._asked(validate.query(query))
         found = materialise(self.found(asked, validate.count(k), hybrid), "found")
-        made = answers.generate(answers.prompts(found, self.files_of(found), asked, k), self.generator, self.system)
+        made = answers.generate(answers.prompts(found, answers.of_spans(self.table("text_blocks"), found), asked, k), self.generator, self.system)
         return made.first()["answer"]
 
     def answer_batch(self, results: DataFrame, k: int, cached: bool = False) -> DataFrame:
         """(place, question_id, question, retrieved_sources, answer) of results (place, question_id, question, path, first, last, rank), from the first k sources of each, which are those kept."""
         questions = results.select("place", "question_id", "question").distinct()
         found = results.where(F.col("rank") <= k).select(F.col("place").alias("question_id"), "path", "first", "last", "rank")
-        prompted = answers.prompts(found, self.files_of(found), questions.select(F.col("place").alias("question_id"), "question"), k)
+        prompted = answers.prompts(found, answers.of_spans(self.table("text_blocks"), found), questions.select(F.col("place").alias("question_id"), "question"), k)
         prompted = materialise(prompted.withColumn("key", X.answer_key(F.col("question"), F.lit(k), F.lit(self.model), F.lit(answers.MAX_TOKENS), F.lit(self.system), F.col("prompt"))), "prompts")
         kept = questions.join(self._sources(found).withColumnRenamed("question_id", "place"), "place", "left").withColumn("retrieved_sources", F.coalesce("retrieved_sources", F.array().cast(f"array<{schemas.SPAN}>")))
         if not cached:

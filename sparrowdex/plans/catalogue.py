@@ -19,6 +19,8 @@ from sparrowdex.storage import drop_path, materialise, shared_path, stored, vers
 
 #: Indexes by application, version of the table and whether terms are stemmed.
 _published: dict[tuple[str, str, bool], str] = {}
+#: Blocks of the documents by application and version of the table.
+_blocks: dict[tuple[str, str], str] = {}
 
 
 class Inputs:
@@ -62,6 +64,16 @@ class Inputs:
             _published[key] = path
         return index.Index.read(self.spark, _published[key])
 
+    @property
+    def blocks(self) -> DataFrame:
+        """The documents in blocks, stored once for an application like the index."""
+        key = (self.spark.sparkContext.applicationId, version(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if key not in _blocks:
+            path = shared_path(self.spark, "blocks")
+            answer.write_blocks(self.files, path)
+            _blocks[key] = path
+        return self.spark.read.parquet(_blocks[key])
+
     @property
     def gold(self) -> DataFrame:
         return materialise(tables.gold(self.files, self.questions), "gold")
@@ -215,7 +227,8 @@ def results_nested(i):
 
 
 def prompted(i):
-    return answer.prompts(found(i, 3), i.files, i.questions)
+    top = materialise(found(i, 3), "found")
+    return answer.prompts(top, answer.of_spans(i.blocks, top), i.questions)
 
 
 def context_prompt(i):
